@@ -56,8 +56,8 @@ class PieceCoder:
         for p, i in normal.items():
             self.automaton.add_word(p, (len(p), i, sp.get_score(i)))
         self.automaton.make_automaton()
-        self.text_of = [p.replace(BLANK, " ").encode() for p in self.pieces]
-        self.store: dict[str, tuple[int, ...]] = {}
+        self.text_of = [bytes((self.byte_of[i],)) if i in self.byte_of else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.store: dict[str, bytes] = {}
 
     def viterbi(self, part: str) -> tuple[int, ...]:
         """Best segmentation of a part in which blanks are U+2581 already."""
@@ -95,24 +95,30 @@ class PieceCoder:
             end = start
         return tuple(reversed(out))
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian 32-bit integers."""
         if not text:
-            return []
-        if BLANK in text:
+            return b""
+        if BLANK in text or not self.by_blank:
             return self._encode_odd(text)
-        if not self.by_blank:
-            return list(self.viterbi((" " + text).replace(" ", BLANK)))
-        store, out = self.store, []
-        for part in _PARTS.findall(" " + text):
-            ids = store.get(part)
-            if ids is None:
-                ids = self.viterbi(part.replace(" ", BLANK))
-                if len(store) < self.MOST and len(part) < 64:
-                    store[part] = ids
-            out += ids
-        return out
-
-    def _encode_odd(self, text: str) -> list[int]:
+        if "  " in text or text[0] == " ":
+            parts = _PARTS.findall(" " + text)
+        else:
+            parts = text.split(" ")  # each stands for itself with one blank before it
+        got = list(map(self.store.get, parts))
+        if None in got:
+            got = [self._new(p) if x is None else x for p, x in zip(parts, got, strict=True)]
+        return b"".join(got)
+
+    def _new(self, part: str) -> bytes:
+        if (ids := self.store.get(part)) is None:
+            blank = part if part[:1] == " " else " " + part
+            ids = np.array(self.viterbi(blank.replace(" ", BLANK)), "<i4").tobytes()
+            if len(self.store) < self.MOST and len(part) < 64:
+                self.store[part] = ids
+        return ids
+
+    def _encode_odd(self, text: str) -> bytes:
         """A text with U+2581 in it: that character itself goes to bytes, the stretches between are encoded apart."""
         out: list[int] = []
         raw = [self.bytes_at[b] for b in BLANK.encode()]
@@ -121,12 +127,20 @@ class PieceCoder:
                 out += raw
             if stretch:
                 out += self.viterbi(stretch.replace(" ", BLANK))
-        return out
+        return np.array(out, "<i4").tobytes()
 
-    def decode(self, ids) -> str:
-        byte_of, text_of = self.byte_of, self.text_of
-        raw = b"".join(bytes((byte_of[i],)) if i in byte_of else text_of[i] for i in ids)
-        return raw.decode("utf-8", "surrogatepass")[1:]
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+
+
+_opened: dict[str, PieceCoder] = {}
+
+
+def opened(model_file: str) -> PieceCoder:
+    """One for each file in each Python worker, so that what it has stored serves the worker's next tasks."""
+    if model_file not in _opened:
+        _opened[model_file] = PieceCoder(model_file)
+    return _opened[model_file]
 
 
 def encode_documents(docs: DataFrame, *, model_file: str | None = None) -> DataFrame:
@@ -139,13 +153,13 @@ def encode_documents(docs: DataFrame, *, model_file: str | None = None) -> DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        coder = PieceCoder(model_file)
+        coder = opened(model_file)
         for batch in batches:
             for part in by_slices(batch):
                 rows = []
                 for text in part.column(1).to_pylist():
-                    ids = coder.encode(text or "")
-                    rows.append((np.array(ids, "<i4"), coder.decode(ids) == (text or "")))
+                    ids = np.frombuffer(coder.encode(text or ""), "<i4")
+                    rows.append((ids, coder.decode(ids.tolist()) == (text or "")))
                 ends = np.cumsum([0, *(len(x[0]) for x in rows)]).astype(np.int32)
                 flat = np.concatenate([x[0] for x in rows]) if rows else np.zeros(0, "<i4")
                 yield pa.RecordBatch.from_pydict({
@@ -164,7 +178,7 @@ def decode_documents(encoded: DataFrame, *, model_file: str | None = None) -> Da
     model_file = model_file or default_model()
 
     def run(batches):
-        coder = PieceCoder(model_file)
+        coder = opened(model_file)
         for batch in batches:
             texts = [None if ids is None else coder.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": pa.array(texts, pa.string())})
