@@ -51,13 +51,14 @@ def greedy_quota(df: DataFrame, key: str, cohort: str, labels: str, position: st
     reach = most + share * len(cohorts) * len(names)
     if reach * (len(cohorts) * len(names) + 1) > bound:
         raise ValueError("the selection is too large for the driver")
-    cells = df.filter(F.col(cohort).isin(*cohorts)).select(key, position, F.col(cohort).alias("_c"), F.explode(F.array_distinct(labels)).alias("_l")).filter(F.col("_l").isin(*names))
-    parts = [cells.filter((F.col("_c") == c) & (F.col("_l") == n)).orderBy(position).limit(reach).select("_c", "_l", key, position) for c in cohorts for n in names]
-    all_rows = df.select(F.lit(None).cast("string").alias("_c"), F.lit(None).cast("string").alias("_l"), key, position).orderBy(position).limit(reach)
+    at = F.col(position).alias("_at")
+    cells = df.filter(F.col(cohort).isin(*cohorts)).select(key, at, F.col(cohort).alias("_c"), F.explode(F.array_distinct(labels)).alias("_l")).filter(F.col("_l").isin(*names))
+    parts = [cells.filter((F.col("_c") == c) & (F.col("_l") == n)).orderBy("_at").limit(reach).select("_c", "_l", key, "_at") for c in cohorts for n in names]
+    all_rows = df.select(F.lit(None).cast("string").alias("_c"), F.lit(None).cast("string").alias("_l"), key, at).orderBy("_at").limit(reach)
     for p in parts:
         all_rows = all_rows.unionByName(p)
     found: dict = {}
-    for r in sorted(all_rows.collect(), key=lambda r: r[position]):
+    for r in sorted(all_rows.collect(), key=lambda r: r["_at"]):
         found.setdefault((r["_c"], r["_l"]), []).append(r[key])
     chosen: list = []
     seen: set = set()
