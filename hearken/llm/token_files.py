@@ -132,7 +132,7 @@ class Tokens:
     ids of a text are those of the chunks between such blanks. Texts with a blank after white space go whole.
     """
 
-    MOST = 500_000
+    MOST = 700_000
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
@@ -145,23 +145,39 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        chunked = [None if _BLANK_AFTER_SPACE.search(x) else x.split(" ") for x in texts]
-        wanted: set[str] = set()
-        for chunks in chunked:
-            if chunks:
-                wanted.update(chunks[1:])
-        new = [x for x in wanted if x not in self.store]
-        got = dict(zip(new, self._ask([" " + x for x in new]), strict=True)) if new else {}
-        if len(self.store) + len(got) <= self.MOST:
-            self.store.update(got)
-            look = self.store.__getitem__
-        else:
-            both = {x: self.store[x] if x in self.store else got[x] for x in wanted}
-            room = self.MOST - len(self.store)
-            self.store.update(list(got.items())[:room])
-            look = both.__getitem__
-        firsts = iter(self._ask([x if c is None else c[0] for x, c in zip(texts, chunked, strict=True)]))
-        return [next(firsts) if c is None else b"".join((next(firsts), *map(look, c[1:]))) for c in chunked]
+        whole: list[str] = []
+        found: list[tuple[list[str], list]] = []
+        new: dict[str, bytes] = {}
+        for text in texts:
+            if _BLANK_AFTER_SPACE.search(text):
+                whole.append(text)
+                found.append(([], []))
+                continue
+            first, *chunks = text.split(" ")
+            whole.append(first)
+            got = list(map(self.store.get, chunks))
+            if None in got:
+                new.update((c, b"") for c, x in zip(chunks, got, strict=True) if x is None)
+            found.append((chunks, got))
+        new = dict(zip(new, self._ask([" " + x for x in new]), strict=True)) if new else new
+        if len(self.store) < self.MOST:
+            self.store.update(new)
+        out = []
+        for begin, (chunks, got) in zip(self._ask(whole), found, strict=True):
+            if None in got:
+                got = [new[c] if x is None else x for c, x in zip(chunks, got, strict=True)]
+            out.append(begin + b"".join(got))
+        return out
+
+
+_opened: dict[str, Tokens] = {}
+
+
+def opened(tokenizer_file: str) -> Tokens:
+    """One for each file in each Python worker, so that what it has stored serves the worker's next tasks."""
+    if tokenizer_file not in _opened:
+        _opened[tokenizer_file] = Tokens(tokenizer_file)
+    return _opened[tokenizer_file]
 
 
 def write_token_files(docs: DataFrame, *, tokenizer_file: str | None = None, end_id: int = END_ID, path: str | None = None) -> DataFrame:
@@ -182,7 +198,7 @@ def write_token_files(docs: DataFrame, *, tokenizer_file: str | None = None, end
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens = Tokens(tokenizer_file)
+        tokens = opened(tokenizer_file)
         part, segment, start = None, 0, 0
         held: list[tuple] = []
         size = 0
@@ -200,7 +216,7 @@ def write_token_files(docs: DataFrame, *, tokenizer_file: str | None = None, end
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for piece in by_slices(batch, 128):
+            for piece in by_slices(batch, 512):
                 found = tokens.encode(piece.column(2).to_pylist())
                 for p, d, ids in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), found, strict=True):
                     if p != part:
