@@ -10,6 +10,7 @@ sampled nor capped. Pairs of blocks whose covering balls are too far apart are n
 
 from __future__ import annotations
 
+import io
 import math
 
 import numpy as np
@@ -38,16 +39,17 @@ def exact_cosine(u: np.ndarray, v: np.ndarray) -> float:
 class CoverTree:
     """Nodes as flat arrays; the points of a node are contiguous in `order`.
 
-    Node t covers order[start[t]:end[t]] within radius[t] of point centre[t]; its children are kids[t], nodes as numbers
-    from 0, or none for a leaf, whose points are compared themselves.
+    Node t covers order[start[t]:end[t]] within radius[t] of point centre[t]. It splits into parts: its children, or for a
+    leaf its points. A part is a node number, a point and a radius; a part of one point has the number -1.
     """
 
     def __init__(self, x: np.ndarray):
-        self.x = x
+        self.x, self.x32 = x, x.astype(np.float32)
         n = len(x)
         self.order = np.arange(n)
-        self.start, self.end, self.centre, self.radius, self.kids = [], [], [], [], []
-        self._node(0, n, 0)
+        self.start, self.end, self.centre, self.radius = [], [], [], []
+        kids: list[list[int]] = []
+        self._node(0, n, 0, kids)
         todo = [0]
         while todo:
             t = todo.pop()
@@ -57,8 +59,7 @@ class CoverTree:
             members, goal, groups = self.order[a:b], self.radius[t] / 2, []
             centre = self.centre[t]
             while len(members):
-                d = self._distance(members, centre)
-                near = d <= goal
+                near = self._distance(members, centre) <= goal
                 near |= members == centre
                 groups.append((members[near], centre))
                 members = members[~near]
@@ -66,28 +67,57 @@ class CoverTree:
             at = a
             for own, c in groups:
                 self.order[at : at + len(own)] = own
-                k = self._node(at, at + len(own), c)
-                self.kids[t].append(k)
-                todo.append(k)
+                k = self._node(at, at + len(own), c, kids)
+                kids[t].append(k)
+                if len(own) > 1:
+                    todo.append(k)
                 at += len(own)
+        sizes = np.array(self.end) - np.array(self.start)
+        self.first, numbers, points = [0], [], []
+        for t, own in enumerate(kids):
+            if own:
+                numbers += [k if sizes[k] > 1 else -1 for k in own]
+                points += [self.centre[k] for k in own]
+            else:
+                numbers += [-1] * int(sizes[t])
+                points += self.order[self.start[t] : self.end[t]].tolist()
+            self.first.append(len(numbers))
+        self.numbers, self.points = np.array(numbers), np.array(points)
 
     def _distance(self, members: np.ndarray, centre: int) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, 2 - 2 * (self.x[members] @ self.x[centre])))
 
-    def _node(self, a: int, b: int, centre: int) -> int:
+    def _node(self, a: int, b: int, centre: int, kids: list) -> int:
         self.start.append(a)
         self.end.append(b)
         self.centre.append(int(centre))
         self.radius.append(float(self._distance(self.order[a:b], centre).max()) if b - a > 1 else 0.0)
-        self.kids.append([])
+        kids.append([])
         return len(self.start) - 1
 
     def parts(self, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(nodes, centres, radii) of what a node splits into; single points have the node -1."""
-        if kids := self.kids[t]:
-            return np.array(kids), np.array([self.centre[k] for k in kids]), np.array([self.radius[k] for k in kids])
-        points = self.order[self.start[t] : self.end[t]]
-        return np.full(len(points), -1), points, np.zeros(len(points))
+        """(numbers, points, radii) of what a node splits into."""
+        numbers = self.numbers[self.first[t] : self.first[t + 1]]
+        return numbers, self.points[self.first[t] : self.first[t + 1]], np.where(numbers >= 0, np.asarray(self.radius)[numbers], 0.0)
+
+    def covered(self, number: int, point: int) -> np.ndarray:
+        return self.order[self.start[number] : self.end[number]] if number >= 0 else np.array([point])
+
+    _SAVED = ("order", "start", "end", "centre", "radius", "first", "numbers", "points")
+
+    def saved(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **{k: np.asarray(getattr(self, k)) for k in self._SAVED})
+        return out.getvalue()
+
+    @classmethod
+    def opened(cls, x: np.ndarray, saved: bytes) -> CoverTree:
+        tree = cls.__new__(cls)
+        tree.x, tree.x32 = x, x.astype(np.float32)
+        with np.load(io.BytesIO(saved)) as arrays:
+            for k in cls._SAVED:
+                setattr(tree, k, arrays[k])
+        return tree
 
 
 class Links:
@@ -124,63 +154,53 @@ def dual_traversal(left: CoverTree, right: CoverTree, weights: tuple[np.ndarray,
     while todo:
         s, t = todo.pop()
         (n1, c1, r1), (n2, c2, r2) = left.parts(s), right.parts(t)
-        g = left.x[c1] @ right.x[c2].T
-        d = np.sqrt(np.maximum(0.0, 2 - 2 * g))
-        slack = r1[:, None] + r2[None, :]
-        open_ = d <= reach + slack + _MARGIN
+        # single precision finds what can be open, with a margin for its error; double precision decides
+        limit = cosine if not (r1.any() or r2.any()) else (1 - (np.minimum(2.0, reach + r1[:, None] + r2[None, :]) ** 2) / 2).astype(np.float32)
+        i, j = np.nonzero(left.x32[c1] @ right.x32[c2].T >= limit - 1e-5)
         if same and s == t:
-            open_ &= np.triu(np.ones_like(open_))
-        single = (n1 < 0)[:, None] & (n2 < 0)[None, :]
-        i, j = np.nonzero(open_ & single)
-        if len(i):
-            other = (c1[i] != c2[j]) if same else np.ones(len(i), bool)
-            linked = g[i, j] >= cosine
-            for k in np.flatnonzero(np.abs(g[i, j] - cosine) < _MARGIN):
-                linked[k] = exact_cosine(left.x[c1[i[k]]], right.x[c2[j[k]]]) >= cosine
-            i, j = c1[i[linked & other]], c2[j[linked & other]]
-            np.add.at(out.weight, i, wr[j])
-            np.add.at(out.weight, j + shift, wl[i])
-            for a, b in zip(i.tolist(), (j + shift).tolist(), strict=True):
-                out.join(a, b)
-        for i, j in zip(*(x.tolist() for x in np.nonzero(open_ & ~single)), strict=True):
-            a, b = n1[i], n2[j]
-            whole = (d[i, j] + slack[i, j] if not (same and a == b) else 2 * r1[i]) <= reach - _MARGIN
+            i, j = i[i <= j], j[i <= j]
+        g = np.einsum("ij,ij->i", left.x[c1[i]], right.x[c2[j]])
+        single = (n1[i] < 0) & (n2[j] < 0)
+        a, b = c1[i[single]], c2[j[single]]
+        _link(left, right, a, b, g[single], wl, wr, cosine, out, shift, same)
+        slack = r1[i] + r2[j]
+        d = np.sqrt(np.maximum(0.0, 2 - 2 * g))
+        for k in np.flatnonzero(~single & (d <= reach + slack + _MARGIN)).tolist():
+            a, b = int(n1[i[k]]), int(n2[j[k]])
+            own = same and a == b
+            whole = (2 * r1[i[k]] if own else d[k] + slack[k]) <= reach - _MARGIN
+            if not whole and a >= 0 and b >= 0:
+                todo.append((a, b))
+                continue
+            p, q = left.covered(a, c1[i[k]]), right.covered(b, c2[j[k]])
             if not whole:
-                if a < 0 or b < 0:
-                    _one_side(left, right, (a, c1[i]), (b, c2[j]), wl, wr, cosine, out, shift, same)
-                else:
-                    todo.append((a, b))
+                p, q = np.repeat(p, len(q)), np.tile(q, len(p))
+                _link(left, right, p, q, np.einsum("ij,ij->i", left.x[p], right.x[q]), wl, wr, cosine, out, shift, same)
                 continue
-            pa_ = left.order[left.start[a] : left.end[a]] if a >= 0 else c1[i : i + 1]
-            pb = right.order[right.start[b] : right.end[b]] if b >= 0 else c2[j : j + 1]
-            if same and a == b:
-                out.weight[pa_] += wl[pa_].sum() - wl[pa_]
-                pb = pb[:1]
+            if own:
+                out.weight[p] += wl[p].sum() - wl[p]
             else:
-                out.weight[pa_] += wr[pb].sum()
-                out.weight[pb + shift] += wl[pa_].sum()
-            for p in pa_.tolist():
-                out.join(p, int(pb[0]) + shift)
-            for p in pb.tolist():
-                out.join(int(pa_[0]), p + shift)
+                out.weight[p] += wr[q].sum()
+                out.weight[q + shift] += wl[p].sum()
+            for x in p.tolist():
+                out.join(x, int(q[0]) + shift)
+            for x in q.tolist():
+                out.join(int(p[0]), x + shift)
     return out
 
 
-def _one_side(left, right, one, two, wl, wr, cosine, out, shift, same) -> None:
-    """A single point against a node: its points are compared with it."""
-    (a, ca), (b, cb) = one, two
-    i = left.order[left.start[a] : left.end[a]] if a >= 0 else np.array([ca])
-    j = right.order[right.start[b] : right.end[b]] if b >= 0 else np.array([cb])
-    g = left.x[i] @ right.x[j].T
+def _link(left, right, a, b, g, wl, wr, cosine, out, shift, same) -> None:
+    """Links the pairs of points a[k] and b[k] whose cosine g[k] reaches the threshold."""
     linked = g >= cosine
-    for p, q in zip(*np.nonzero(np.abs(g - cosine) < _MARGIN), strict=True):
-        linked[p, q] = exact_cosine(left.x[i[p]], right.x[j[q]]) >= cosine
+    for k in np.flatnonzero(np.abs(g - cosine) < _MARGIN):
+        linked[k] = exact_cosine(left.x[a[k]], right.x[b[k]]) >= cosine
     if same:
-        linked &= i[:, None] != j[None, :]
-    for p, q in zip(*np.nonzero(linked), strict=True):
-        out.weight[i[p]] += wr[j[q]]
-        out.weight[j[q] + shift] += wl[i[p]]
-        out.join(int(i[p]), int(j[q]) + shift)
+        linked &= a != b
+    a, b = a[linked], b[linked]
+    np.add.at(out.weight, a, wr[b])
+    np.add.at(out.weight, b + shift, wl[a])
+    for x, y in zip(a.tolist(), (b + shift).tolist(), strict=True):
+        out.join(x, y)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -246,16 +266,16 @@ def _links(groups: DataFrame, n: int, kind: str, cosine: float) -> DataFrame:
         raw = np.array(pdf["embedding"].tolist(), np.float32 if kind == "float" else np.float64)
         x = unit(raw)
         centre = x[0]
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "centre": [centre.tolist()], "radius": [float(np.sqrt(np.maximum(0, 2 - 2 * (x @ centre))).max())], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "weights": [pdf["w"].to_numpy(np.float64).tobytes()], "raw": [raw.tobytes()]})
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "centre": [centre.tolist()], "radius": [float(np.sqrt(np.maximum(0, 2 - 2 * (x @ centre))).max())], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "weights": [pdf["w"].to_numpy(np.float64).tobytes()], "raw": [raw.tobytes()], "tree": [CoverTree(x).saved()]})
 
-    table = written(blocked.select("block", "id", "w", "embedding").groupBy("block").applyInPandas(gathered, "block int, centre array<double>, radius double, ids binary, weights binary, raw binary"), "blocks")
+    table = written(blocked.select("block", "id", "w", "embedding").groupBy("block").applyInPandas(gathered, "block int, centre array<double>, radius double, ids binary, weights binary, raw binary, tree binary"), "blocks")
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + _MARGIN
     meta = table.select("block", "centre", "radius")
     pairs = meta.select(F.col("block").alias("i"), F.col("centre").alias("ci"), F.col("radius").alias("ri"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("j"))
     pairs = pairs.join(meta.toDF("j", "cj", "rj"), "j")
     apart = F.sqrt(F.aggregate(F.zip_with("ci", "cj", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
     pairs = pairs.filter(apart <= F.col("ri") + F.col("rj") + reach).select("i", "j")
-    load = lambda k: table.select(F.col("block").alias(k), F.struct("ids", "weights", "raw").alias(f"b{k}"))
+    load = lambda k: table.select(F.col("block").alias(k), F.struct("ids", "weights", "raw", "tree").alias(f"b{k}"))
     both = pairs.join(load("j"), "j").join(load("i"), "i").select("i", "j", "bi", "bj")
     # dealt evenly by the pair, as a row is a task's work
     both = both.repartition(max(8, min(2048, blocks * (blocks + 1) // 4)), "i", "j")
@@ -264,18 +284,17 @@ def _links(groups: DataFrame, n: int, kind: str, cosine: float) -> DataFrame:
     def traverse(batches):
         def opened(b):
             raw = np.frombuffer(b["raw"], np.float32 if kind == "float" else np.float64).reshape(-1, dims)
-            return np.frombuffer(b["ids"], np.int64), np.frombuffer(b["weights"], np.float64), unit(raw)
+            return np.frombuffer(b["ids"], np.int64), np.frombuffer(b["weights"], np.float64), CoverTree.opened(unit(raw), b["tree"])
 
         for batch in batches:
             for at in range(batch.num_rows):
                 i, j, bi, bj = (batch.column(k)[at].as_py() for k in range(4))
-                ids, w, x = opened(bi)
-                left = CoverTree(x)
+                ids, w, left = opened(bi)
                 if i == j:
                     out = dual_traversal(left, left, (w, w), cosine)
                 else:
-                    more, w2, x2 = opened(bj)
-                    out = dual_traversal(left, CoverTree(x2), (w, w2), cosine)
+                    more, w2, right = opened(bj)
+                    out = dual_traversal(left, right, (w, w2), cosine)
                     ids = np.concatenate([ids, more])
                 hit = np.flatnonzero(out.weight)
                 edges = np.array(out.edges, np.int64).reshape(-1, 2)
