@@ -31,9 +31,9 @@ from hearken.llm.graph import components
 WORDS, THRESHOLD = 5, 0.8
 TABLES, PICKS = 20, 4
 #: Bits of a pair's one-bit minimum hashes, and how many may differ: at similarity 0.8 one in ten does on average, and
-#: 102 of 768 are three standard deviations more, so that the filter before the alignment loses about one pair in a
+#: 189 of 1536 are three standard deviations more, so that the filter before the alignment loses about one pair in a
 #: thousand at the very threshold and none that is much above it.
-BITS, DIFFER = 768, 102
+BITS, DIFFER = 1536, 189
 _MASK = (1 << 64) - 1
 
 
@@ -228,7 +228,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     named = one.join(first, "digest").select("doc_id", "copy_of")
     reps = sketches.join(first, (sketches["doc_id"] == first["copy_of"]) & (sketches["digest"] == first["digest"]), "left_semi").dropDuplicates(["doc_id"])
     meta = written(reps.select("doc_id", "n", "bits", "keys"), "sketched")
-    buckets = meta.select("doc_id", F.posexplode("keys").alias("t", "key")).select("doc_id", F.xxhash64("t", "key").alias("key"))
+    buckets = meta.select("doc_id", F.posexplode("keys").alias("t", "key")).select("doc_id", "t", F.xxhash64("t", "key").alias("key"))
     small = meta.select("doc_id", "n", "bits")
 
     least = buckets.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).filter("b < most").select("key", "b")
@@ -245,16 +245,18 @@ def near_classes(docs: DataFrame) -> DataFrame:
         mixed = open_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
         if leaders > 64:
             mixed = mixed.filter(F.col("size") > leaders // 64)
-        rest = open_rows.join(mixed.select("key", "size"), "key").join(small, "doc_id")
-        rest = written(rest.select("key", "doc_id", "component", "n", "bits", "size"), "open")
+        rest = open_rows.join(mixed.select("key", "size"), "key").join(meta.select("doc_id", "n", "bits", "keys"), "doc_id")
+        rest = written(rest.select("key", "t", "doc_id", "component", "n", "bits", "keys", "size"), "open")
         if rest.isEmpty():
             drop_written(rest)
             break
         # in a bucket of up to 64 texts all of them lead, else one of each hash class
         heads = rest.withColumn("class", F.when(F.col("size") <= leaders, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(leaders)), F.lit(leaders))))
-        heads = heads.groupBy("key", "class").agg(F.min_by(F.struct("doc_id", "component", "n", "bits"), "doc_id").alias("h"))
-        heads = heads.select("key", *[F.col(f"h.{c}").alias(f"{c}_b") for c in ("doc_id", "component", "n", "bits")])
-        met = rest.join(heads, (rest["key"] == heads["key"]) & (F.col("component") != F.col("component_b")) & _near_length("n", "n_b") & _agreeing("bits", "bits_b"))
+        heads = heads.groupBy("key", "class").agg(F.min_by(F.struct("doc_id", "component", "n", "bits", "keys"), "doc_id").alias("h"))
+        heads = heads.select("key", *[F.col(f"h.{c}").alias(f"{c}_b") for c in ("doc_id", "component", "n", "bits", "keys")])
+        # a pair is met in the first of the tables that it shares, and nowhere else
+        first_shared = F.array_position(F.zip_with("keys", "keys_b", lambda x, y: x == y), F.lit(True)) == F.col("t") + 1
+        met = rest.join(heads, (rest["key"] == heads["key"]) & (F.col("component") != F.col("component_b")) & _near_length("n", "n_b") & _agreeing("bits", "bits_b") & first_shared)
         pairs = written(met.select(F.greatest("doc_id", "doc_id_b").alias("a"), F.least("doc_id", "doc_id_b").alias("b")).distinct(), "pairs")
         more = written(verified(pairs, docs), "links")
         rounds.append(more)
