@@ -80,15 +80,15 @@ def evaluate(gold: DataFrame, asr: DataFrame) -> DataFrame:
 
     A row of asr without gold is an error; of repeated gold ids one stays."""
     pair = lambda s: F.array_distinct(F.transform(s, lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))))
-    g = gold.dropDuplicates(["utterance_id"]).select("utterance_id", "standard_transcript", F.col("intent").alias("gold_intent"), pair("slots").alias("gold_slots"), "critical_spans", F.lit(True).alias("has_gold"))
+    g = gold.dropDuplicates(["utterance_id"]).select("utterance_id", F.col("dialect_transcript").alias("reference"), F.col("intent").alias("gold_intent"), pair("slots").alias("gold_slots"), "critical_spans", F.lit(True).alias("has_gold"))
     r = asr.select("utterance_id", "model", "hypothesis", "intent_prediction", pair("slots").alias("slots")).join(g, "utterance_id", "left")
     r = r.withColumn("has_gold", F.when(F.col("has_gold").isNull(), F.raise_error(F.format_string("no gold row for %s", "utterance_id")).cast("boolean")).otherwise(True)).filter("has_gold")
-    r = r.withColumn("rw", words("standard_transcript")).withColumn("hw", words("hypothesis"))
+    r = r.withColumn("rw", words("reference")).withColumn("hw", words("hypothesis"))
     size = lambda c: F.size(c).cast("long")
     r = r.select(
         "model",
-        F.levenshtein(characters("standard_transcript"), characters("hypothesis")).alias("char_edits"),
-        F.char_length(characters("standard_transcript")).alias("chars"),
+        F.levenshtein(characters("reference"), characters("hypothesis")).alias("char_edits"),
+        F.char_length(characters("reference")).alias("chars"),
         word_edits("rw", "hw").alias("word_edits"),
         size("rw").alias("words"),
         (F.col("gold_intent") == F.col("intent_prediction")).cast("int").alias("intent_hit"),
