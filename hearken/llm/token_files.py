@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +125,14 @@ def decode_blocks(payload: bytes, starts: list[int]) -> np.ndarray:
 # ---- tokens ---------------------------------------------------------------------------------------------------
 
 _BLANK_AFTER_SPACE = re.compile(r"\s ")
+_CUT = frozenset(".,")
+
+
+def _little(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
 
 
 class Tokens:
@@ -132,40 +142,71 @@ class Tokens:
     ids of a text are those of the chunks between such blanks. Texts with a blank after white space go whole.
     """
 
-    MOST = 700_000
+    MOST = 1_000_000
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.store: dict[str, bytes] = {}
+        self.store: dict[str, bytes] = {}  # by chunk without its blank
+        self.bare: dict[str, bytes] = {}  # by text that no blank stands before
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_little(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _atoms(chunk: str) -> list[tuple[bool, str]]:
+        """A chunk cut where the library always cuts too: around a full stop or comma that ends it after an ASCII letter, and
+        at one line feed between characters other than white space. (bare, text); the first atom is not bare."""
+        head, feed, tail = chunk.partition("\n")
+        if feed and (not head or not tail or head[-1].isspace() or tail[0].isspace()):
+            return [(False, chunk)]
+        out = []
+        for bare, x in ((False, head), (True, "\n" + tail))[: 1 + bool(feed)]:
+            if len(x) > 2 and x[-1] in ".," and "A" <= x[-2] <= "z" and x[-2].isalpha():
+                out += [(bare, x[:-1]), (True, x[-1])]
+            else:
+                out.append((bare, x))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         whole: list[str] = []
-        found: list[tuple[list[str], list]] = []
-        new: dict[str, bytes] = {}
+        found: list[tuple[list[str], list, list[int]]] = []
+        missed: dict[str, bytes] = {}
         for text in texts:
             if _BLANK_AFTER_SPACE.search(text):
                 whole.append(text)
-                found.append(([], []))
+                found.append(([], [], []))
                 continue
             first, *chunks = text.split(" ")
             whole.append(first)
             got = list(map(self.store.get, chunks))
-            if None in got:
-                new.update((c, b"") for c, x in zip(chunks, got, strict=True) if x is None)
-            found.append((chunks, got))
-        new = dict(zip(new, self._ask([" " + x for x in new]), strict=True)) if new else new
-        if len(self.store) < self.MOST:
-            self.store.update(new)
+            places = [i for i, x in enumerate(got) if x is None] if None in got else []
+            for i in places:
+                missed[chunks[i]] = b""
+            found.append((chunks, got, places))
+        stores = (self.store, self.bare)
+        cut = {c: self._atoms(c) for c in missed if c[-1:] in _CUT or "\n" in c}
+        new = {(False, c): b"" for c in missed if c not in cut}
+        for atoms in cut.values():
+            new.update((a, b"") for a in atoms if a[1] not in stores[a[0]])
+        if new:
+            new = dict(zip(new, self._ask([x if bare else " " + x for bare, x in new]), strict=True))
+            for kept, bare in ((self.store, False), (self.bare, True)):
+                if len(kept) < self.MOST:
+                    kept.update((x, ids) for (b, x), ids in new.items() if b == bare)
+        for c in missed:
+            if c in cut:
+                missed[c] = b"".join([new[a] if a in new else stores[a[0]][a[1]] for a in cut[c]])
+            else:
+                missed[c] = new[False, c]
+        if len(self.store) < self.MOST // 2:
+            self.store.update(missed)
         out = []
-        for begin, (chunks, got) in zip(self._ask(whole), found, strict=True):
-            if None in got:
-                got = [new[c] if x is None else x for c, x in zip(chunks, got, strict=True)]
+        for begin, (chunks, got, places) in zip(self._ask(whole), found, strict=True):
+            for i in places:
+                got[i] = missed[chunks[i]]
             out.append(begin + b"".join(got))
         return out
 
