@@ -126,6 +126,7 @@ def decode_blocks(payload: bytes, starts: list[int]) -> np.ndarray:
 
 _BLANK_AFTER_SPACE = re.compile(r"\s ")
 _CUT = frozenset(".,")
+_BLANK = "\u0120"  # how byte-level vocabularies write a blank
 
 
 def _little(ids: list[int]) -> bytes:
@@ -142,18 +143,35 @@ class Tokens:
     ids of a text are those of the chunks between such blanks. Texts with a blank after white space go whole.
     """
 
-    MOST = 1_000_000
+    MOST, JOINED = 1_000_000, 256
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        places = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(places.values(), default=0) + 1, bool)  # by id, whether its first byte is a blank
+        self.begins[[i for x, i in places.items() if x.startswith(_BLANK)]] = True
         self.store: dict[str, bytes] = {}  # by chunk without its blank
         self.bare: dict[str, bytes] = {}  # by text that no blank stands before
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [_little(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ask_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, with its blank. Chunks that do not end in white space are asked JOINED at a time as one text:
+        each has one blank, its first character, so the ids that begin with a blank are where the chunks begin."""
+        out: dict[str, bytes] = {}
+        joined = [x for x in chunks if x and not x[-1].isspace()]
+        groups = [joined[at : at + self.JOINED] for at in range(0, len(joined), self.JOINED)]
+        for group, raw in zip(groups, self._ask([" " + " ".join(x) for x in groups]), strict=True):
+            starts = (np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")]) * 4).tolist()
+            if len(starts) == len(group):
+                out.update(zip(group, [raw[i:j] for i, j in zip(starts, [*starts[1:], len(raw)], strict=True)], strict=True))
+        rest = [x for x in chunks if x not in out]
+        out.update(zip(rest, self._ask([" " + x for x in rest]), strict=True))
+        return [out[x] for x in chunks]
+
     @staticmethod
     def _atoms(chunk: str) -> list[tuple[bool, str]]:
         """A chunk cut where the library always cuts too: around a full stop or comma that ends it after an ASCII letter, and
@@ -192,7 +210,10 @@ class Tokens:
         for atoms in cut.values():
             new.update((a, b"") for a in atoms if a[1] not in stores[a[0]])
         if new:
-            new = dict(zip(new, self._ask([x if bare else " " + x for bare, x in new]), strict=True))
+            bare = [x for is_bare, x in new if is_bare]
+            rest = [x for is_bare, x in new if not is_bare]
+            new = {(True, x): ids for x, ids in zip(bare, self._ask(bare), strict=True)}
+            new.update(((False, x), ids) for x, ids in zip(rest, self._ask_chunks(rest), strict=True))
             for kept, bare in ((self.store, False), (self.bare, True)):
                 if len(kept) < self.MOST:
                     kept.update((x, ids) for (b, x), ids in new.items() if b == bare)
