@@ -12,7 +12,6 @@ Block: u32 minimum, u16 ids, u8 width, u8 zero, u16 exceptions, u16 zero, then 8
 
 from __future__ import annotations
 
-import re
 import struct
 import sys
 import zlib
@@ -20,6 +19,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,7 +124,7 @@ def decode_blocks(payload: bytes, starts: list[int]) -> np.ndarray:
 
 # ---- tokens ---------------------------------------------------------------------------------------------------
 
-_BLANK_AFTER_SPACE = re.compile(r"\s ")
+_BLANK_AFTER_SPACE = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}] "  # RE2, whose \s is that of ASCII only
 _CUT = frozenset(".,")
 _BLANK = "\u0120"  # how byte-level vocabularies write a blank
 
@@ -187,48 +187,63 @@ class Tokens:
                 out.append((bare, x))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        whole: list[str] = []
-        found: list[tuple[list[str], list, list[int]]] = []
-        missed: dict[str, bytes] = {}
-        for text in texts:
-            if _BLANK_AFTER_SPACE.search(text):
-                whole.append(text)
-                found.append(([], [], []))
-                continue
-            first, *chunks = text.split(" ")
-            whole.append(first)
-            got = list(map(self.store.get, chunks))
-            places = [i for i, x in enumerate(got) if x is None] if None in got else []
-            for i in places:
-                missed[chunks[i]] = b""
-            found.append((chunks, got, places))
+    def _new(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of chunks that are not in the store, which keeps them."""
         stores = (self.store, self.bare)
-        cut = {c: self._atoms(c) for c in missed if c[-1:] in _CUT or "\n" in c}
-        new = {(False, c): b"" for c in missed if c not in cut}
+        cut = {c: self._atoms(c) for c in chunks if c[-1:] in _CUT or "\n" in c}
+        asked = [dict.fromkeys(c for c in chunks if c not in cut), {}]
         for atoms in cut.values():
-            new.update((a, b"") for a in atoms if a[1] not in stores[a[0]])
-        if new:
-            bare = [x for is_bare, x in new if is_bare]
-            rest = [x for is_bare, x in new if not is_bare]
-            new = {(True, x): ids for x, ids in zip(bare, self._ask(bare), strict=True)}
-            new.update(((False, x), ids) for x, ids in zip(rest, self._ask_chunks(rest), strict=True))
-            for kept, bare in ((self.store, False), (self.bare, True)):
-                if len(kept) < self.MOST:
-                    kept.update((x, ids) for (b, x), ids in new.items() if b == bare)
-        for c in missed:
-            if c in cut:
-                missed[c] = b"".join([new[a] if a in new else stores[a[0]][a[1]] for a in cut[c]])
-            else:
-                missed[c] = new[False, c]
+            for bare, x in atoms:
+                if x not in stores[bare]:
+                    asked[bare][x] = None
+        found = [dict(zip(xs, f(list(xs)), strict=True)) for xs, f in zip(asked, (self._ask_chunks, self._ask), strict=True)]
+        out = {c: b"".join([found[bare][x] if x in found[bare] else stores[bare][x] for bare, x in cut[c]]) if c in cut else found[0][c] for c in chunks}
+        for kept, ids in zip(stores, found, strict=True):
+            if len(kept) < self.MOST:
+                kept.update(ids)
         if len(self.store) < self.MOST // 2:
-            self.store.update(missed)
-        out = []
-        for begin, (chunks, got, places) in zip(self._ask(whole), found, strict=True):
-            for i in places:
-                got[i] = missed[chunks[i]]
-            out.append(begin + b"".join(got))
+            self.store.update(out)
+        return out
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        Texts are split and their chunks numbered by Arrow; Python meets each different chunk of the texts once.
+        """
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        whole = pc.match_substring_regex(texts, _BLANK_AFTER_SPACE).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        at = np.flatnonzero(whole).tolist()
+        for i, ids in zip(at, self._ask(texts.take(pa.array(at, pa.int64())).to_pylist()), strict=True):
+            out[i] = ids
+        at = np.flatnonzero(~whole).tolist()
+        if not at:
+            return out
+        lists = pc.split_pattern(texts.take(pa.array(at, pa.int64())) if len(at) < len(texts) else texts, " ")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        ends -= ends[0]
+        firsts = ends[:-1]  # the places of what no blank stands before
+        numbered = lists.flatten().dictionary_encode()
+        place = numbered.indices.to_numpy().astype(np.int64)
+        chunks = numbered.dictionary.to_pylist()
+        first_texts = [chunks[i] for i in place[firsts].tolist()]
+        place[firsts] = np.arange(len(chunks), len(chunks) + len(firsts))
+        met = np.zeros(len(chunks) + len(firsts), bool)
+        met[place] = True
+        got = list(map(self.store.get, chunks))
+        missed = [i for i, (x, used) in enumerate(zip(got, met.tolist())) if x is None and used]
+        new = self._new([chunks[i] for i in missed])
+        for i in missed:
+            got[i] = new[chunks[i]]
+        ids = pa.array([*(x or b"" for x in got), *self._ask(first_texts)], pa.large_binary()).take(pa.array(place))
+        _, bounds, data = ids.buffers()
+        bounds = np.frombuffer(bounds, np.int64)[ends].tolist()
+        data = memoryview(data) if data is not None else b""
+        for i, begin, end in zip(at, bounds, bounds[1:], strict=False):
+            out[i] = bytes(data[begin:end])
         return out
 
 
@@ -278,8 +293,8 @@ def write_token_files(docs: DataFrame, *, tokenizer_file: str | None = None, end
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for piece in by_slices(batch, 512):
-                found = tokens.encode(piece.column(2).to_pylist())
+            for piece in by_slices(batch, 2048):
+                found = tokens.encode(piece.column(2))
                 for p, d, ids in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), found, strict=True):
                     if p != part:
                         if held:
