@@ -60,8 +60,8 @@ def dialect_marked(span: Column | str, units: Column | str) -> Column:
 
 
 def span_losses(outcomes: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts and loss rates of match types by group; strict counts all that is not preserved, inclusive forgives what is
-    ambiguous."""
+    """Counts and loss rates of match types by group, of the spans that can be scored: strict counts those that are absent,
+    inclusive also the ambiguous ones. A group without such spans has null rates."""
     is_ = lambda *k: F.count_if(F.col("match_type").isin(*k))
     out = outcomes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("labelled"),
@@ -71,7 +71,7 @@ def span_losses(outcomes: DataFrame, keys: list[str]) -> DataFrame:
         is_("absent").alias("absent"),
     )
     scorable = F.col("labelled") - F.col("phantom")
-    return out.withColumn("scorable", scorable).withColumn("strict_loss", F.coalesce(F.try_divide(scorable - F.col("preserved"), scorable), F.lit(0.0))).withColumn("inclusive_loss", F.coalesce(F.try_divide("absent", scorable), F.lit(0.0)))
+    return out.withColumn("scorable", scorable).withColumn("strict_loss", F.try_divide("absent", scorable)).withColumn("inclusive_loss", F.try_divide(scorable - F.col("preserved"), scorable))
 
 
 def evaluate(gold: DataFrame, asr: DataFrame) -> DataFrame:

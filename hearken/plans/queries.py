@@ -356,7 +356,7 @@ _LOSS = " UNION ALL ".join(
 
 @query(
     f"WITH {_TURNS}, o AS ({_LOSS}), g AS (SELECT role, span, count(*) AS labelled, count(*) FILTER (m = 'phantom_label') AS phantom, count(*) FILTER (m = 'eojeol_initial') AS preserved, count(*) FILTER (m = 'substring_only') AS ambiguous, count(*) FILTER (m = 'absent') AS absent FROM o GROUP BY ALL)"
-    " SELECT *, labelled - phantom AS scorable, round(coalesce((labelled - phantom - preserved) / nullif(labelled - phantom, 0), 0)::DOUBLE, 9) AS strict_loss, round(coalesce(absent / nullif(labelled - phantom, 0), 0)::DOUBLE, 9) AS inclusive_loss FROM g"
+    " SELECT *, labelled - phantom AS scorable, round((absent / nullif(labelled - phantom, 0))::DOUBLE, 9) AS strict_loss, round(((labelled - phantom - preserved) / nullif(labelled - phantom, 0))::DOUBLE, 9) AS inclusive_loss FROM g"
 )
 def q24_span_losses(spark, sf_dir):
     t = _turns(spark, sf_dir).select("role", "ref", "hyp", F.explode(F.array(*map(F.lit, _NEEDLES))).alias("span"))
