@@ -151,6 +151,24 @@ def cohort_contrast(clusters: DataFrame, one: str, two: str, key: str = "review_
     return seen.select("rate_0", "rate_1", (F.col("rate_0") - F.col("rate_1")).alias("difference"), (F.col("rate_0").isNotNull() & F.col("rate_1").isNotNull()).alias("comparable")).join(F.broadcast(gap), F.lit(True))  # one row each
 
 
+def marked_contrast(outcomes: DataFrame, key: str = "review_id", draws: int = 10_000, seed: str = "marked", *, least_spans: int = 10, least_clusters: int = 5) -> DataFrame:
+    """One row: strict loss of the dialect-marked spans less that of the others, of outcomes (key, match_type,
+    dialect_marked) with phantom labels left out; each arm's utterances are resampled apart.
+
+    `comparable` is false, and rates of the missing arm are null, where an arm has no span. `underpowered` says that the
+    marked arm has fewer than least_spans spans or least_clusters utterances."""
+    rows = outcomes.filter("match_type <> 'phantom_label'").select(key, "match_type", F.coalesce("dialect_marked", F.lit(False)).alias("_m"))
+    each = rows.groupBy(key, "_m").agg(F.count_if(F.col("match_type") == "absent").alias("hits"), F.count(F.lit(1)).alias("total"))
+    of = lambda marked, column: F.coalesce(F.sum(F.when(F.col("_m") == marked, F.col(column))), F.lit(0))
+    seen = each.agg(F.count_if("_m").alias("marked_clusters"), of(True, "total").alias("marked_spans"), of(False, "total").alias("plain_spans"), of(True, "hits").alias("_a"), of(False, "hits").alias("_b"))
+    seen = seen.withColumns({"marked_loss": _div("_a", "marked_spans"), "plain_loss": _div("_b", "plain_spans")}).withColumn("difference", F.col("marked_loss") - F.col("plain_loss"))
+    arms = [bootstrap_draws(each.filter(F.col("_m") == m), key, ["hits", "total"], draws, f"{seed}-{m}").select("draw", _div("hits", "total").alias(f"_{m}")) for m in (True, False)]
+    gap = arms[0].join(arms[1], "draw").agg(F.percentile(F.col("_True") - F.col("_False"), F.array(F.lit(0.025), F.lit(0.975))).alias("difference_ci"))
+    out = seen.drop("_a", "_b").withColumn("comparable", (F.col("marked_spans") > 0) & (F.col("plain_spans") > 0))
+    out = out.withColumn("underpowered", (F.col("marked_spans") < least_spans) | (F.col("marked_clusters") < least_clusters)).join(F.broadcast(gap), F.lit(True))  # one row each
+    return out.withColumn("crosses_zero", (F.get("difference_ci", F.lit(0)) <= 0) & (F.get("difference_ci", F.lit(1)) >= 0))
+
+
 def permutation_test(units: DataFrame, key: str = "review_id", draws: int = 20_000, seed: str = "permutation") -> DataFrame:
     """Monte Carlo test of the rate difference: labels move within clusters. units: key, is_dialect, is_error, one row each.
 

@@ -80,6 +80,84 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, rate int, channels int, frames long, samples array<float>")
 
 
+class _Stored(_io.RawIOBase):
+    """A file in any store that Spark reads, for the few bytes at its end that list a zip archive's members."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._size, self._at = store.getFileStatus(where).getLen(), 0
+        self._stream, self._bytes = store.open(where), jvm.org.apache.commons.io.IOUtils.toByteArray
+
+    def seekable(self) -> bool:
+        return True
+
+    def readable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self._at
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        self._at = (0, self._at, self._size)[whence] + offset
+        return self._at
+
+    def read(self, n: int = -1) -> bytes:
+        n = self._size - self._at if n is None or n < 0 else min(n, self._size - self._at)
+        if n <= 0:
+            return b""
+        self._stream.seek(self._at)
+        self._at += n
+        return bytes(self._bytes(self._stream, n))
+
+    def close(self) -> None:
+        if not self.closed:
+            self._stream.close()
+        super().close()
+
+
+def audio_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, member, archive) of the WAV members of the one zip archive below a folder; several or none raise an error.
+
+    Only the archive's directory is read, whatever its size."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path).select("path").limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{path} must hold exactly one zip archive")
+    archive = found[0]["path"]
+    with _Stored(spark, archive) as stored, zipfile.ZipFile(stored) as z:
+        members = sorted(x for x in z.namelist() if x.endswith(".wav"))
+    return spark.createDataFrame([(m.rsplit("/", 1)[-1][: -len(".wav")], m, archive) for m in members], "stem string, member string, archive string")
+
+
+def cut_clips(requests: DataFrame, *, padding: float = 0.25) -> DataFrame:
+    """(review_id, clip, seconds) of requests (review_id, content: a WAV file, start_sec, end_sec): the padded part as a WAV
+    file of the same rate, width and channels. An empty part raises an error. Each row is cut where it lies."""
+
+    def run(batches):
+        import wave
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for key, content, begin, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                with wave.open(_io.BytesIO(content)) as w:
+                    rate = w.getframerate()
+                    first, last = max(0, int((begin - padding) * rate)), min(w.getnframes(), int((end + padding) * rate))
+                    if last <= first:
+                        raise ValueError(f"the clip of {key} is empty")
+                    w.setpos(first)
+                    params, frames = w.getparams(), w.readframes(last - first)
+                out = _io.BytesIO()
+                with wave.open(out, "wb") as w:
+                    w.setparams(params)
+                    w.writeframes(frames)
+                yield pa.RecordBatch.from_pydict({"review_id": pa.array([key], pa.string()), "clip": pa.array([out.getvalue()], pa.binary()), "seconds": pa.array([(last - first) / rate], pa.float64())})
+
+    rows = requests.select(F.col("review_id").cast("string"), "content", F.col("start_sec").cast("double"), F.col("end_sec").cast("double"))
+    return rows.mapInArrow(run, "review_id string, clip binary, seconds double")
+
+
 def write_jsonl(df: DataFrame, path: str, *, gzip: bool = False) -> None:
     df.write.option("compression", "gzip" if gzip else "none").json(path)
 

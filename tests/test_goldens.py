@@ -190,6 +190,51 @@ def test_wav(spark, tmp_path):
     assert (r["rate"], r["channels"], r["frames"]) == (16000, 2, 2) and r["samples"] == [0.5, 0.5]
 
 
+def test_span_losses(spark):
+    # Published match types of 74 labels of fifty utterances, and their loss rates.
+    found = {"eojeol_initial": 41, "phantom_label": 16, "numeral_equivalent": 10, "absent": 6, "substring_only": 1}
+    rows = spark.createDataFrame([("m", k) for k, n in found.items() for _ in range(n)] + [("none", "phantom_label")], "model string, match_type string")
+    got = {r["model"]: r for r in scoring.span_losses(rows, ["model"]).collect()}
+    assert (got["m"]["scorable"], got["m"]["strict_loss"], got["m"]["inclusive_loss"]) == (58, 0.10344827586206896, 0.1206896551724138)
+    assert got["none"]["scorable"] == 0 and got["none"]["strict_loss"] is None and got["none"]["inclusive_loss"] is None
+
+
+def test_marked_contrast(spark):
+    rows = [(f"r{i}", "absent" if i % 2 else "eojeol_initial", True) for i in range(12)] + [(f"r{i}", "eojeol_initial", False) for i in range(20)] + [("r0", "phantom_label", True)]
+    schema = "review_id string, match_type string, dialect_marked boolean"
+    r = stats.marked_contrast(spark.createDataFrame(rows, schema), draws=200).first()
+    assert (r["marked_clusters"], r["marked_spans"], r["plain_spans"], r["difference"], r["comparable"], r["underpowered"], r["crosses_zero"]) == (12, 12, 20, 0.5, True, False, False)
+    assert 0 < r["difference_ci"][0] < 0.5 < r["difference_ci"][1] < 1
+    r = stats.marked_contrast(spark.createDataFrame(rows[:4], schema), draws=50).first()
+    assert (r["comparable"], r["underpowered"], r["plain_loss"], r["difference"]) == (False, True, None, None)
+
+
+def test_clips_and_listing(spark, tmp_path):
+    import wave
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setparams((2, 2, 16000, 0, "NONE", ""))
+        w.writeframes(bytes(range(64)) * 1000)  # 16000 frames
+    files = spark.read.format("binaryFile").load(str(tmp_path / "a.wav")).select("content")
+    r = io.cut_clips(files.withColumns({"review_id": F.lit("x"), "start_sec": F.lit(0.5), "end_sec": F.lit(0.9)})).first()
+    assert r["review_id"] == "x" and r["seconds"] == 0.75
+    (tmp_path / "clips").mkdir()
+    (tmp_path / "clips/x.wav").write_bytes(bytes(r["clip"]))
+    again = io.read_wav(spark, str(tmp_path / "clips")).first()
+    assert (again["rate"], again["channels"], again["frames"]) == (16000, 2, 12000)
+    assert again["samples"] == io.read_wav(spark, str(tmp_path / "a.wav")).first()["samples"][4000:]
+    with pytest.raises(Exception, match="is empty"):
+        io.cut_clips(files.withColumns({"review_id": F.lit("x"), "start_sec": F.lit(2.0), "end_sec": F.lit(3.0)})).collect()
+    (tmp_path / "zips").mkdir()
+    with pytest.raises(ValueError, match="exactly one"):
+        io.audio_listing(spark, str(tmp_path / "zips"))
+    with zipfile.ZipFile(tmp_path / "zips/a.zip", "w") as z:
+        z.writestr("in/s1.wav", b"x")
+        z.writestr("s2.wav", b"y")
+        z.writestr("note.txt", b"z")
+    assert [tuple(r)[:2] for r in io.audio_listing(spark, str(tmp_path / "zips")).collect()] == [("s1", "in/s1.wav"), ("s2", "s2.wav")]
+
+
 def test_stream(spark, tmp_path):
     from hearken.streaming.ingest import stream_outcomes
 
