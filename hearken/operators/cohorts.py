@@ -43,6 +43,7 @@ def utterances(dialogs: DataFrame) -> DataFrame:
     rows = rows.withColumn("s", speaker).filter("s is not null")
     marked = F.filter("u.eojeolList", lambda e: e["isDialect"])
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    topic = text("metadata.topic") if "metadata" in dialogs.columns else F.lit("")
     return rows.select(
         "source_file",
         F.col("u.id").alias("utterance_id"),
@@ -55,6 +56,7 @@ def utterances(dialogs: DataFrame) -> DataFrame:
         F.coalesce(F.size("u.eojeolList"), F.lit(0)).alias("eojeol_count"),
         (F.coalesce(F.size(marked), F.lit(0)) > 0).alias("has_dialect"),
         F.col("u.eojeolList").alias("eojeols"),
+        topic.alias("topic"),
     )
 
 
@@ -62,6 +64,11 @@ def slice_summary(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("slice_label").agg(F.count(F.lit(1)).alias("utterances"), F.sum("dialect_count").alias("dialect_eojeols"), F.sum("eojeol_count").alias("eojeols"), F.count_if("has_dialect").alias("dialect_utterances"))
 
 
+def topic_counts(manifest: DataFrame) -> DataFrame:
+    """Utterances of each slice and topic; those without a topic are not counted."""
+    return manifest.filter("topic <> ''").groupBy("slice_label", "topic").agg(F.count(F.lit(1)).alias("utterances"))
+
+
 def with_slices(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """rows with the slice of (source_file, utterance_id), `other` where the manifest has none."""
     known = manifest.select("source_file", "utterance_id", F.col("slice_label").alias("_slice")).dropDuplicates(["source_file", "utterance_id"])

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 EOJEOL = "struct<id:bigint,eojeol:string,standard:string,isDialect:boolean>"
 DIALOG = (
     "id string, speaker array<struct<id:string,age:string,occupation:string,sex:string,birthplace:string,principal_residence:string,current_residence:string,education:string>>, "
-    f"relation string, utterance array<struct<id:string,form:string,standard_form:string,dialect_form:string,speaker_id:string,start:double,end:double,note:string,eojeolList:array<{EOJEOL}>>>"
+    f"relation string, metadata struct<topic:string>, utterance array<struct<id:string,form:string,standard_form:string,dialect_form:string,speaker_id:string,start:double,end:double,note:string,eojeolList:array<{EOJEOL}>>>"
 )
 SLOT = "struct<name:string,value:string,span_text:string>"
 CRITICAL = "struct<span_text:string,category:string,business_risk:string,expected_asr_preservation:string>"

@@ -85,6 +85,7 @@ def test_dialogs_and_profile(spark, tmp_path):
     word = lambda i, e, s, d: {"id": i, "eojeol": e, "standard": s, "isDialect": d}
     dialog = {
         "id": "d",
+        "metadata": {"topic": "food"},
         "speaker": [{"id": "p", "birthplace": "부산", "principal_residence": "부산", "current_residence": "부산"}, {"id": "q", "birthplace": "대구", "principal_residence": "대구", "current_residence": "부산"}],
         "utterance": [
             {"id": "1", "speaker_id": "p", "dialect_form": "맞나", "standard_form": "맞나요", "eojeolList": [word(1, "맞나", "맞나요", True), word(2, "네", "네", False)]},
@@ -97,6 +98,8 @@ def test_dialogs_and_profile(spark, tmp_path):
     rows = cohorts.utterances(io.read_json_folder(spark, str(tmp_path / "one")))
     assert sorted((r["source_file"], r["speaker_id"], r["slice_label"], r["eojeol_count"], r["dialect_count"]) for r in rows.collect()) == [("a.json", "p", "busan_strict", 2, 1), ("a.json", "q", "busan_residence", 1, 0)]
     assert {r["slice_label"]: r["eojeols"] for r in cohorts.slice_summary(rows).collect()} == {"busan_strict": 2, "busan_residence": 1}
+    assert sorted(map(tuple, cohorts.topic_counts(rows).collect())) == [("busan_residence", "food", 1), ("busan_strict", "food", 1)]
+    assert cohorts.topic_counts(cohorts.utterances(io.read_json_folder(spark, str(tmp_path / "one")).drop("metadata"))).count() == 0
     grains = [r.asDict() for r in cohorts.taxonomy(rows).collect()]
     assert len(grains) == 4 and all(g["n"] == 1 for g in grains) and {g["category"] for g in grains} == {None, "ending_or_particle_variant"}
     assert cohorts.review_candidates(rows).count() == 1
