@@ -371,7 +371,7 @@ def test_token_files_against_the_library(spark, odd):
             at += len(ids)
 
 
-@given(st.lists(st.text(alphabet="ab'st .\n\t  é1<|endoftext|>", max_size=20), max_size=4))
+@given(st.lists(st.text(alphabet="ab'st .\n\t  é1<|endoftext|>,\x0b\x1c\x85\xa0\u2028\u3000ſ", max_size=20), max_size=4))
 @settings(max_examples=150, deadline=None)
 def test_tokens_by_chunks(texts):
     tokens = token_files.Tokens(token_files.default_tokenizer())
