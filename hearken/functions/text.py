@@ -4,6 +4,8 @@ White space and digits are those of Unicode. Null texts give null."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,12 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once for a row, also where use refers to it inside the lambda of an array function,
+    which would compute it again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column | str) -> Column:
     """Words between white space; no words for an empty text."""
     return F.filter(F.split(_col(text), r"(?U)\s+"), lambda w: w != "")
@@ -31,13 +39,12 @@ def word_edits(reference_words: Column | str, hypothesis_words: Column | str) ->
 
     Pairs may have up to 20,000 distinct words."""
     a, b = _col(reference_words), _col(hypothesis_words)
-    vocabulary = F.array_distinct(F.concat(a, b))
 
-    def encoded(side: Column) -> Column:
+    def encoded(side: Column, vocabulary: Column) -> Column:
         one = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.array_position(vocabulary, w)), 4, "0")), "UTF-16BE")
         return F.array_join(F.transform(side, one), "")
 
-    return F.levenshtein(encoded(a), encoded(b))
+    return bound(F.array_distinct(F.concat(a, b)), lambda v: F.levenshtein(encoded(a, v), encoded(b, v)))
 
 
 def normalized(text: Column | str) -> Column:
@@ -45,10 +52,15 @@ def normalized(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), "[^0-9A-Za-z가-힣]", "")
 
 
-def contains_normalized(text: Column | str, value: Column | str) -> Column:
-    """Containment after normalisation; what normalises to nothing is contained nowhere."""
+def holds(normal: Column, value: Column | str) -> Column:
+    """Containment of a value, once normalised, in a normalised text; what normalises to nothing is contained nowhere."""
     needle = normalized(value)
-    return (needle != "") & F.contains(normalized(text), needle)
+    return (needle != "") & F.contains(normal, needle)
+
+
+def contains_normalized(text: Column | str, value: Column | str) -> Column:
+    """Containment after normalisation of both."""
+    return holds(normalized(text), value)
 
 
 def common_prefix(a: Column | str, b: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hearken.functions.text import _col, cleaned_tokens
+from hearken.functions.text import _col, bound, cleaned_tokens
 
 # Cue words, patterns and names of the annotation scheme.
 RISK = {"negation": "high", "amount": "high", "date_time": "high", "entity": "medium", "intent_cue": "high", "confirmation": "high", "other": "medium"}
@@ -71,11 +71,10 @@ def boundary_spans(text: Column | str, *, rules: tuple = BOUNDARY_RULES, date_wo
 
     An amount is a numeral run with its unit in one token, or a token that is all numerals before one that opens with a
     unit. `exact` cues are whole tokens, `prefix` cues open one."""
-    tokens = cleaned_tokens(text)
 
-    def amount(token: Column, i: Column) -> Column:
+    def amount(token: Column, following: Column) -> Column:
         inline = F.regexp_extract(token, f"^{_NUMERALS}\\s?{_UNIT}", 0)
-        after = F.regexp_extract(F.coalesce(F.get(tokens, i + 1), F.lit("")), f"^{_UNIT}", 0)
+        after = F.regexp_extract(F.coalesce(following, F.lit("")), f"^{_UNIT}", 0)
         return F.when(inline != "", _span(inline, "amount")).when(token.rlike(f"^{_NUMERALS}$") & (after != ""), _span(F.concat_ws(" ", token, after), "amount"))
 
     def dates(token: Column) -> Column:
@@ -85,8 +84,16 @@ def boundary_spans(text: Column | str, *, rules: tuple = BOUNDARY_RULES, date_wo
     def cues(token: Column) -> Column:
         return F.array(*[F.when(token == cue if mode == "exact" else F.startswith(token, F.lit(cue)), _span(F.lit(cue), name)) for name, mode, group in rules for cue in group])
 
-    found = F.concat(F.transform(tokens, amount), F.flatten(F.transform(tokens, dates)), F.flatten(F.transform(tokens, cues)))
-    return F.array_distinct(F.array_compact(found)).cast(SPANS)
+    # one cheap test for each token; the few that pass are looked at rule by rule
+    opens = lambda words: "^(?:" + "|".join(rf"\Q{w}\E" for w in words) + ")"
+    dated, cued = opens(date_words)[:-1] + "|[0-9])", opens([cue for _, _, group in rules for cue in group])
+
+    def found(tokens: Column) -> Column:
+        amounts = F.transform(tokens, lambda token, i: F.when(token.rlike(f"^{_NUMERALS}"), amount(token, F.get(tokens, i + 1))))
+        some = lambda pattern, each: F.flatten(F.transform(F.filter(tokens, lambda t: t.rlike(pattern)), each))
+        return F.concat(amounts, some(dated, dates), some(cued, cues))
+
+    return F.array_distinct(F.array_compact(bound(cleaned_tokens(text), found))).cast(SPANS)
 
 
 def hints(text: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearken.functions.numerals import DIGITS, numeric_values
-from hearken.functions.text import _col, characters, contains_normalized, normalized, word_edits, words
+from hearken.functions.text import _col, bound, characters, contains_normalized, holds, normalized, word_edits, words
 
 
 def unit_outcome(hypothesis: Column | str, dialect: Column | str, standard: Column | str) -> Column:
@@ -124,13 +124,16 @@ def with_outcomes(manifest: DataFrame, asr: DataFrame) -> DataFrame:
 
 
 def clusters(matched: DataFrame) -> DataFrame:
-    """Four counts for each utterance with a hypothesis: units and errors, dialect and plain. No shuffle."""
-    lost = lambda u: unit_outcome(F.col("hypothesis"), u["dialect"], u["standard"]) == "missing_or_substituted"
+    """Four counts for each utterance with a hypothesis: units and errors, dialect and plain. No shuffle; the hypothesis is
+    normalised once for an utterance, not once for each of its units."""
+    normal = normalized("hypothesis")
+    lost = lambda h, u: ~F.coalesce(holds(h, u["dialect"]) | holds(h, u["standard"]), F.lit(False))
+    failed = lambda units, test: bound(normal, lambda h: F.size(F.filter(units, lambda u: test(h, u))))
     return matched.filter("hypothesis is not null").select(
         "review_id",
         "cohort",
         F.size("dialect_units").alias("dialect_total"),
-        F.size(F.filter("dialect_units", lost)).alias("dialect_error"),
+        failed("dialect_units", lost).alias("dialect_error"),
         F.size("plain_units").alias("plain_total"),
-        F.size(F.filter("plain_units", lambda u: plain_error(F.col("hypothesis"), u["standard"]))).alias("plain_error"),
+        failed("plain_units", lambda h, u: ~holds(h, u["standard"])).alias("plain_error"),
     )
