@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import json
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -92,7 +94,7 @@ def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, rows
     return df.mapInArrow(run, schema)
 
 
-def id_splits(df: DataFrame, column: str, rows_per_bucket: int = 2048, most: int = 1024) -> list:
+def id_splits(df: DataFrame, column: str, rows_per_bucket: int = 2048, most: int = 16384) -> list:
     """Values that cut a numeric column into ranges of about as many rows each; most bounds what the driver gets."""
     n = df.filter(F.col(column).isNotNull()).count()
     buckets = min(most, max(1, n // rows_per_bucket))
@@ -102,8 +104,21 @@ def id_splits(df: DataFrame, column: str, rows_per_bucket: int = 2048, most: int
     return sorted(set(cuts))
 
 
-def id_bucket(column: Column, splits: list) -> Column:
-    """Number of the range that a value falls in; nulls go to the first."""
+def literal_array(values: list, kind: str) -> Column:
+    """An array of numbers as one literal, however many there are; kind is the type of its elements."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def id_bucket(column: Column, splits: list, kind: str = "long") -> Column:
+    """Number of the range that a value falls in; nulls go to the first. kind is the column's type.
+
+    The splits are searched in two steps, among every width-th of them and then among the width that follow it, so that
+    a row costs about two square roots of their number."""
     if not splits:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, splits)), lambda cut: cut <= column)), F.lit(0))
+    width = math.isqrt(len(splits) - 1) + 1
+    groups = [splits[i : i + width] for i in range(0, len(splits), width)]
+    reached = lambda cuts: F.size(F.filter(cuts, lambda cut: cut <= column))
+    group = reached(literal_array([g[0] for g in groups], kind)) - 1
+    inside = F.get(literal_array(groups, f"array<{kind}>"), group)
+    return F.coalesce(F.when(group < 0, 0).otherwise(group * width + reached(inside)), F.lit(0))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import by_slices, id_bucket, id_splits
+from hearken.llm.common import by_slices, id_bucket, id_splits, literal_array
 
 PRIMES = (2147483629, 2147483587)
 BASES = (1103515245, 69069069)
@@ -140,22 +140,19 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     splits = id_splits(docs, "doc_id")
-    bucket = id_bucket(F.col("doc_id"), splits)
+    bucket = id_bucket(F.col("doc_id"), splits, kind)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), bucket.alias("bucket"))
-    # the first id of each range: as many rows as there are ranges, 1024 at most; a null id comes first of all
+    # the first id of each range: as many rows as there are ranges, which id_splits bounds; a null id comes first of all
     heads = {r["bucket"]: (r["id"], r["nulls"] > 0) for r in rows.groupBy("bucket").agg(F.min("doc_id").alias("id"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect()}
     order = sorted(heads)
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    goes = F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("tail")))
-    for b in order:
-        first, nulls = heads[b]
-        if not nulls:
-            continue
-        goes = F.when((F.col("bucket") == b) & F.col("doc_id").isNull(), F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("tail")), F.struct(F.lit(before[b]).alias("to"), F.lit(1).alias("tail")))).otherwise(goes)
-    plain = {first: before[b] for b, (first, nulls) in heads.items() if not nulls}
-    if plain:
-        there = F.element_at(F.create_map(*[x for k, v in plain.items() for x in (F.lit(k), F.lit(v))]), F.col("doc_id"))
-        goes = F.when(there.isNotNull(), F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("tail")), F.struct(there.alias("to"), F.lit(1).alias("tail")))).otherwise(goes)
+    every = range(max(order, default=-1) + 1)
+    first = F.get(literal_array([None if b not in heads or heads[b][1] else heads[b][0] for b in every], kind), F.col("bucket"))
+    nulls_first = F.get(literal_array([b in heads and heads[b][1] for b in every], "boolean"), F.col("bucket"))
+    leads = F.coalesce(F.when(F.col("doc_id").isNull(), nulls_first).otherwise(F.col("doc_id") == first), F.lit(False))
+    own = F.struct(F.col("bucket").alias("to"), F.lit(0).alias("tail"))
+    also = F.struct(F.get(literal_array([before.get(b) for b in every], "int"), F.col("bucket")).alias("to"), F.lit(1).alias("tail"))
+    goes = F.when(leads, F.array(own, also)).otherwise(F.array(own))
     dealt = rows.withColumn("go", F.explode(goes)).select(F.col("go.to").alias("bucket"), F.col("go.tail").alias("tail"), "doc_id", "text")
     dealt = dealt.repartition(max(1, len(order)), "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), "text")
 

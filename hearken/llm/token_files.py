@@ -269,7 +269,7 @@ def write_token_files(docs: DataFrame, *, tokenizer_file: str | None = None, end
     tokenizer_file = tokenizer_file or default_tokenizer()
     splits = id_splits(docs, "doc_id")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(id_bucket(F.col("doc_id"), splits).alias("part"), "doc_id", text.alias("text"))
+    rows = docs.select(id_bucket(F.col("doc_id"), splits, docs.schema["doc_id"].dataType.simpleString()).alias("part"), "doc_id", text.alias("text"))
     rows = rows.repartition(len(splits) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
     end = np.array([end_id], "<u4").tobytes()
 
@@ -318,7 +318,7 @@ def read_token_files(segments: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone; start counts all ids before it."""
     sizes = segments.groupBy("part").agg(F.sum(F.expr("aggregate(doc_sizes, 0L, (a, x) -> a + x)")).alias("n"))
     before, at = {}, 0
-    for r in sorted(sizes.collect(), key=lambda r: r["part"]):  # a row for each part, of which there are 1024 at most
+    for r in sorted(sizes.collect(), key=lambda r: r["part"]):  # a row for each part, whose number id_splits bounds
         before[r["part"]] = at
         at += r["n"]
 

@@ -570,3 +570,20 @@ def test_pipeline(spark, odd):
     assert final.count() > 0 and final.filter("not round_trip").count() == 0
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, SF).columns == odd.columns, name
+
+
+# ---- ranges of ids ----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("count", [1, 2, 5, 97, 3000])
+def test_ranges_of_ids(spark, count):
+    """The two-step search finds the range that a plain search finds, at every split and beside it."""
+    from bisect import bisect_right
+
+    from hearken.llm.common import id_bucket
+
+    splits = sorted(np.random.default_rng(count).choice(10**7, count, replace=False).tolist())
+    values = [None, -5, 10**8, *splits, *[s - 1 for s in splits], *[s + 1 for s in splits]]
+    rows = spark.createDataFrame([(v,) for v in values], "v long")
+    for r in rows.select("v", id_bucket(F.col("v"), splits).alias("b")).collect():
+        assert r["b"] == (0 if r["v"] is None else bisect_right(splits, r["v"]))
