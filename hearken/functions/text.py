@@ -85,7 +85,8 @@ def stable_hash(text: Column | str) -> Column:
 
 def cleaned_tokens(text: Column | str) -> Column:
     """Word tokens reduced to digits, letters, Hangul, % and comma; empty ones are dropped."""
-    return F.filter(F.transform(words(text), lambda w: F.regexp_replace(w, "[^0-9A-Za-z가-힣%,]", "")), lambda w: w != "")
+    kept = F.regexp_replace(_col(text), r"[^0-9A-Za-z가-힣%,\s\x85\p{Z}]+", "")
+    return F.filter(F.split(kept, r"[\s\x85\p{Z}]+"), lambda w: w != "")
 
 
 def first_distinct(spans: Column) -> Column:
