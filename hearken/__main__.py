@@ -9,7 +9,6 @@ import argparse
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hearken.operators import cohorts, review, scoring, validate
 from hearken.plans import workflows
@@ -38,7 +37,8 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _significance(manifest: DataFrame, asr: DataFrame, args: argparse.Namespace) -> DataFrame:
-    found = scoring.clusters(scoring.with_outcomes(manifest, asr).filter(F.col("cohort").isin(*workflows.COHORTS)))
+    """Of all utterances with a hypothesis, whatever their cohort."""
+    found = scoring.clusters(scoring.with_outcomes(manifest, asr))
     return workflows.significance(found.cache(), draws=args.draws)
 
 

@@ -27,6 +27,7 @@ def files(tmp_path_factory):
         "gold": lines(at / "gold.jsonl", gold),
         "asr": lines(at / "asr.jsonl", {"utterance_id": "u1", "review_id": "r1", "model": "m", "hypothesis": "해지 된다", "intent_prediction": "x", "slots": []}),
         "units": lines(at / "units.jsonl", {"review_id": "r1", "utterance_id": "u1", "cohort": "busan", "dialect_units": [unit], "plain_units": [{"standard": "해지"}, {"standard": "안"}]}),
+        "other": lines(at / "other.jsonl", {"review_id": "r1", "utterance_id": "u1", "cohort": "other", "dialect_units": [unit], "plain_units": [{"standard": "해지"}]}),
         "queue": lines(at / "queue.jsonl", {"review_id": "r1", "review_status": "accepted", "final_annotation": gold}, {"review_id": "r2", "review_status": "rejected", "final_annotation": gold}),
         "dialogs": str((at / "dialogs", lines(at / "dialogs" / "d.json", dialog))[0]),
         "slices": lines(at / "slices.jsonl", {"source_file": "a.json", "utterance_id": "a.1", "speaker_id": "s", "slice_label": "busan_any", "dialect_count": 1, "eojeol_count": 9}),
@@ -52,6 +53,7 @@ def files(tmp_path_factory):
         ("probe", ["units", "asr"], [], [{"evaluated_utterances": 1, "dialect_unit_error_rate": 1.0, "plain_unit_error_rate": 0.5}]),
         ("outcomes", ["units", "asr"], [], None),
         ("significance", ["units", "asr"], ["--draws", "50"], [{"dialect_rate": 1.0, "plain_rate": 0.5}]),
+        ("significance", ["other", "asr"], ["--draws", "20"], [{"dialect_total": 1, "plain_rate": 0.0}]),
         ("spans", ["gold", "units", "asr"], [], None),
         ("losses", ["gold", "units", "asr"], ["--by", "cohort"], [{"cohort": "busan", "labelled": 2, "absent": 1, "strict_loss": 0.5}]),
         ("split", ["slices", "audio", "pilot"], ["--per-cohort", "1"], [{"stem": "a", "cohort": "busan", "taken": 1}]),
