@@ -1,7 +1,8 @@
 """Queries over the driver's tables, each with its SQL: the engine's operators on analogue data.
 
-A turn of a conversation is a reference and the next turn its hypothesis; only turns of ASCII text are used, where
-the SQL side counts bytes as we count code points. Korean logic runs over literal rows. Floats are rounded to 9 places.
+A turn of a conversation is a reference and the next turn its hypothesis. All turns are used; the SQL takes only those of ASCII
+text, since its levenshtein counts bytes where ours counts code points, and so gives other rows where a text is not ASCII.
+Korean logic runs over literal rows. Floats are rounded to 9 places.
 """
 
 from __future__ import annotations
@@ -36,13 +37,12 @@ def _r9(c):
 
 # ---- turns ------------------------------------------------------------------------------------------------------
 
-_ASCII = "^[\\x00-\\x7F]*$"
 _TURNS = "turns AS (SELECT a.conv_id, a.turn, a.role, a.text AS ref, b.text AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE regexp_full_match(a.text, '[\\x00-\\x7F]*') AND regexp_full_match(b.text, '[\\x00-\\x7F]*'))"
 _WORDS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')"
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _read(spark, sf_dir, "conversations").filter(F.col("text").rlike(_ASCII))
+    c = _read(spark, sf_dir, "conversations").filter("text is not null")
     after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
     return c.select("conv_id", "turn", "role", F.col("text").alias("ref")).join(after, ["conv_id", "turn"])
 
@@ -447,7 +447,7 @@ def q33_json_profile(spark, sf_dir):
 @query("SELECT rule, count(*) AS n FROM (SELECT CASE WHEN role NOT IN ('user', 'assistant') THEN 'enum' END AS rule FROM conversations UNION ALL SELECT CASE WHEN turn % 5 = 0 THEN 'additional' END FROM conversations UNION ALL SELECT CASE WHEN turn % 3 = 0 THEN 'required' END FROM conversations) WHERE rule IS NOT NULL GROUP BY rule")
 def q34_schema_violations(spark, sf_dir):
     """Rows turned to JSON with faults of known kinds, and the violations found in them."""
-    c = _read(spark, sf_dir, "conversations")
+    c = _read(spark, sf_dir, "conversations").filter("text is not null")
     row = F.to_json(F.struct(F.when(F.col("turn") % 3 != 0, F.col("conv_id").cast("string")).alias("id"), F.col("role").alias("kind"), F.when(F.col("turn") % 5 == 0, 1).alias("extra")))
     found = validate.violations(row, required=("id", "kind"), strings=("id", "kind"), enums={"kind": ("user", "assistant")}, items={}, known=("id", "kind"), booleans=(), filled=())
     return c.select(F.explode(found).alias("v")).groupBy("v.rule").agg(F.count(F.lit(1)).alias("n"))

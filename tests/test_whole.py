@@ -1,9 +1,17 @@
 """Queries take whole texts and all rows: small tables against plain Python."""
 
+import os
 import random
+import re
+
+import duckdb
+import pytest
+from test_queries import SF, rows
 
 from hearken.plans import queries
 
+LEVENSHTEIN_FREE = ("q03_slot_f1", "q09_clusters", "q10_rates", "q11_two_proportion_z", "q12_wald_interval", "q13_mantel_haenszel", "q14_permutation_null", "q24_span_losses")
+
 
 def distance(a, b):
     row = list(range(len(b) + 1))
@@ -27,3 +35,36 @@ def test_word_edits_beyond_the_fortieth_word(spark, tmp_path):
     r = queries.QUERIES["q02_word_error_rates"](spark, sf).first()
     assert (r["role"], r["words"]) == ("user", sum(map(len, split[:-1])))
     assert r["word_edits"] == sum(map(distance, split, split[1:]))
+
+
+def test_turns_that_are_not_ascii(spark, tmp_path):
+    texts = ["déjà vu naïve façade", "deja vu 😀😀 naïve", "plain words only here", "네 맞아요 extraordinary", "맞나 extraordinary 😀"]
+    sf = conversations(spark, tmp_path, [(0, i, "user", t) for i, t in enumerate(texts)])
+    run = lambda name: queries.QUERIES[name](spark, sf)
+    letters, split = [t.replace(" ", "") for t in texts], [t.split() for t in texts]
+    r = run("q01_turn_error_rates").first()
+    assert (r["turns"], r["edits"], r["chars"]) == (4, sum(map(distance, letters, letters[1:])), sum(map(len, letters[:-1])))
+    r = run("q02_word_error_rates").first()
+    assert (r["word_edits"], r["words"]) == (sum(map(distance, split, split[1:])), sum(map(len, split[:-1])))
+    r = run("q03_slot_f1").first()
+    assert (r["tp"], r["fp"], r["fn"]) == tuple(sum(len(f(set(b), set(a))) for a, b in zip(split, split[1:])) for f in (set.__and__, set.__sub__, lambda b, a: a - b))
+    plain = lambda t: re.sub("[^0-9A-Za-z가-힣]", "", t)
+    lost = lambda w, hyp: not (plain(w) and plain(w) in plain(hyp))
+    want = []
+    for i, (ref, hyp) in enumerate(zip(split, texts[1:])):
+        long, short = [w for w in ref if len(w) >= 8], [w for w in ref if len(w) < 8]
+        want.append((i, "user", len(long), sum(lost(w, hyp) for w in long), len(short), sum(lost(w, hyp) for w in short)))
+    assert sorted(map(tuple, run("q09_clusters").collect())) == want
+
+
+@pytest.mark.parametrize("name", LEVENSHTEIN_FREE)
+def test_all_turns_by_sql(spark, name):
+    """The SQL without its filter of ASCII texts."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{os.path.join(SF, 'conversations.parquet')}'")
+    sql, n = re.subn(r" WHERE regexp_full_match\(a\.text, '[^']*'\) AND regexp_full_match\(b\.text, '[^']*'\)", "", queries.ORACLE_SQL[name])
+    assert n == 1
+    found = con.execute(sql)
+    names = [d[0] for d in found.description]
+    df = queries.QUERIES[name](spark, SF)
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, found.fetchall())
