@@ -1,11 +1,16 @@
 """Statistics of clustered two-by-two data (dialect_total, dialect_error, plain_total, plain_error for each cluster).
 
-Everything is aggregation over the clusters by group, with built-in expressions. Undefined values are null."""
+Everything is aggregation over the clusters by group, with built-in expressions, but for the draws of `bootstrap` and
+`permutation_test`, which NumPy makes. Undefined values are null."""
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,13 +128,38 @@ def bootstrap_draws(clusters: DataFrame, key: str, columns: list[str], draws: in
         return spark.createDataFrame([], f"draw long, {', '.join(f'{c} long' for c in columns)}")
     slots = spark.range(draws).withColumnRenamed("id", "draw").withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     picked = slots.withColumn("_i", F.pmod(_draw(seed, F.col("draw"), F.col("_slot")), F.lit(n)))
-    return picked.join(numbered, "_i").groupBy("draw").agg(*[F.sum(c).alias(c) for c in columns])
+    return picked.join(F.broadcast(numbered), "_i").groupBy("draw").agg(*[F.sum(c).alias(c) for c in columns])
 
 
-def bootstrap(clusters: DataFrame, key: str = "review_id", draws: int = 10_000, seed: str = "bootstrap") -> DataFrame:
+def _counts(clusters: DataFrame, key: str, columns: list[str], most_clusters: int) -> np.ndarray:
+    """The columns of all clusters in the order of the key, on the driver; the number of clusters has a bound that is checked."""
+    if clusters.count() > most_clusters:
+        raise ValueError(f"more than {most_clusters} clusters")
+    table = clusters.select(key, *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in columns]).toArrow()
+    table = table.sort_by([(c, "ascending") for c in table.column_names])
+    return np.stack([table[c].to_numpy() for c in columns], axis=1)
+
+
+def _each_draw(spark, draws: int, seed: str, columns: list[str], sums: Callable[[np.random.Generator], np.ndarray]) -> DataFrame:
+    """(draw, columns) of sums(generator), whose numbers depend on seed and draw alone."""
+    start = int.from_bytes(hashlib.md5(seed.encode()).digest()[:8], "big")
+
+    def run(batches):
+        for b in batches:
+            got = np.array([sums(np.random.default_rng([start, d])) for d in b["id"].to_pylist()], dtype=np.int64).reshape(-1, len(columns))
+            yield pa.RecordBatch.from_arrays([b["id"], *[pa.array(got[:, i]) for i in range(len(columns))]], names=["draw", *columns])
+
+    parts = max(1, min(draws, 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, draws, 1, parts).mapInArrow(run, ", ".join(f"{c} long" for c in ["draw", *columns]))
+
+
+def bootstrap(clusters: DataFrame, key: str = "review_id", draws: int = 10_000, seed: str = "bootstrap", *, most_clusters: int = 1_000_000) -> DataFrame:
     """One row: 95 % intervals of both rates, difference, ratio and odds ratio, the standard error of the difference, and the
-    share of draws at or below no difference."""
-    drawn = bootstrap_draws(clusters, key, ["dialect_total", "dialect_error", "plain_total", "plain_error"], draws, seed)
+    share of draws at or below no difference. Each draw takes n of the n clusters with replacement."""
+    columns = ["dialect_total", "dialect_error", "plain_total", "plain_error"]
+    table = _counts(clusters, key, columns, most_clusters)
+    n = len(table)
+    drawn = _each_draw(clusters.sparkSession, draws if n else 0, seed, columns, lambda rng: np.bincount(rng.integers(0, n, n), minlength=n) @ table)
     each = rates(drawn, "draw")
     sides = F.array(F.lit(0.025), F.lit(0.975))
     names = ("dialect_rate", "plain_rate", "difference", "ratio", "odds_ratio")
@@ -169,22 +199,18 @@ def marked_contrast(outcomes: DataFrame, key: str = "review_id", draws: int = 10
     return out.withColumn("crosses_zero", (F.get("difference_ci", F.lit(0)) <= 0) & (F.get("difference_ci", F.lit(1)) >= 0))
 
 
-def permutation_test(units: DataFrame, key: str = "review_id", draws: int = 20_000, seed: str = "permutation") -> DataFrame:
+def permutation_test(units: DataFrame, key: str = "review_id", draws: int = 20_000, seed: str = "permutation", *, most_clusters: int = 1_000_000) -> DataFrame:
     """Monte Carlo test of the rate difference: labels move within clusters. units: key, is_dialect, is_error, one row each.
 
-    In each draw a cluster's units are ordered by a hash, and its first k count as dialect. A draw is extreme when its
-    difference is as far from 0 as the observed one."""
-    from pyspark.sql.window import Window
-
-    numbered = units.withColumn("_u", F.row_number().over(Window.partitionBy(key).orderBy("is_dialect", "is_error")))
-    sized = numbered.join(units.groupBy(key).agg(F.count_if("is_dialect").alias("_k")), key)
-    drawn = sized.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    order = Window.partitionBy("draw", key).orderBy(F.md5(F.concat_ws("-", F.lit(seed), "draw", F.col(key).cast("string"), "_u")))
-    drawn = drawn.withColumn("_dialect", F.row_number().over(order) <= F.col("_k"))
-    rate = lambda flag: _div(F.count_if(F.col(flag) & F.col("is_error")), F.count_if(flag)) - _div(F.count_if(~F.col(flag) & F.col("is_error")), F.count_if(~F.col(flag)))
-    seen = units.agg(rate("is_dialect").alias("observed"))
-    null = drawn.groupBy("draw").agg(rate("_dialect").alias("d"))
-    joined = null.join(F.broadcast(seen), F.lit(True))  # one row
+    When the labels of a cluster are permuted, the errors among its k dialect units are hypergeometric; each draw takes one such
+    number for every cluster. A draw is extreme when its difference is as far from 0 as the observed one."""
+    counts = units.groupBy(key).agg(F.count_if("is_error").alias("bad"), F.count_if(~F.col("is_error")).alias("good"), F.count_if("is_dialect").alias("k"), F.count_if(F.col("is_dialect") & F.col("is_error")).alias("seen"))
+    table = _counts(counts, key, ["bad", "good", "k", "seen"], most_clusters)
+    bad, good, k, seen = table.T
+    errors, dialect, plain = int(bad.sum()), int(k.sum()), int((bad + good - k).sum())
+    difference = lambda e: _div(e, F.lit(dialect)) - _div(F.lit(errors) - e, F.lit(plain))
+    drawn = _each_draw(units.sparkSession, draws, seed, ["e"], lambda rng: rng.hypergeometric(bad, good, k).sum())
+    joined = drawn.select(difference(F.col("e")).alias("d"), difference(F.lit(int(seen.sum()))).alias("observed"))
     extreme = F.count_if(F.abs("d") >= F.abs("observed") - 1e-12)
     return joined.agg(F.first("observed").alias("observed"), F.avg("d").alias("null_mean"), F.stddev_samp("d").alias("null_sd"), ((extreme + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 

@@ -247,23 +247,22 @@ def q14_permutation_null(spark, sf_dir):
     " SELECT draw, sum(dt)::BIGINT AS dialect_total, sum(de)::BIGINT AS dialect_error, sum(pt)::BIGINT AS plain_total, sum(pe)::BIGINT AS plain_error FROM d JOIN i ON i.i = d.pick GROUP BY draw"
 )
 def q15_bootstrap_draws(spark, sf_dir):
-    """A hundred resamplings of the clusters of one role; all of its clusters take part."""
+    """A hundred resamplings of the clusters of all cohorts, pooled. The SQL resamples those of one role."""
     columns = ["dialect_total", "dialect_error", "plain_total", "plain_error"]
-    return stats.bootstrap_draws(_clusters(spark, sf_dir).filter("cohort = 'system'"), "review_id", columns, 100)
+    return stats.bootstrap_draws(_clusters(spark, sf_dir), "review_id", columns, 100)
 
 
 @query()
 def q16_bootstrap_interval(spark, sf_dir):
-    c = _clusters(spark, sf_dir).filter("cohort = 'system'")
-    b = stats.bootstrap(c, draws=200)
+    b = stats.bootstrap(_clusters(spark, sf_dir))
     return b.select(*[_r9(F.element_at(f"{c}_ci", i)).alias(f"{c}_{n}") for c in ("dialect_rate", "plain_rate", "difference") for i, n in ((1, "low"), (2, "high"))], _r9(F.col("difference_se")).alias("difference_se"))
 
 
 @query()
 def q17_permutation_test(spark, sf_dir):
-    c = _clusters(spark, sf_dir).filter("cohort = 'system'")
+    c = _clusters(spark, sf_dir)
     units = c.select("review_id", F.explode(F.concat(*[F.array_repeat(F.struct(F.lit(d).alias("is_dialect"), F.lit(e).alias("is_error")), n) for d, e, n in ((True, True, F.col("dialect_error")), (True, False, F.col("dialect_total") - F.col("dialect_error")), (False, True, F.col("plain_error")), (False, False, F.col("plain_total") - F.col("plain_error")))])).alias("u")).select("review_id", "u.*")
-    return stats.permutation_test(units, draws=50)
+    return stats.permutation_test(units)
 
 
 # ---- mining and grading ------------------------------------------------------------------------------------------

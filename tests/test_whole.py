@@ -1,5 +1,6 @@
 """Queries take whole texts and all rows: small tables against plain Python."""
 
+import hashlib
 import os
 import random
 import re
@@ -8,6 +9,7 @@ import duckdb
 import pytest
 from test_queries import SF, rows
 
+from hearken.operators import stats
 from hearken.plans import queries
 
 LEVENSHTEIN_FREE = ("q03_slot_f1", "q09_clusters", "q10_rates", "q11_two_proportion_z", "q12_wald_interval", "q13_mantel_haenszel", "q14_permutation_null", "q24_span_losses")
@@ -68,3 +70,20 @@ def test_all_turns_by_sql(spark, name):
     names = [d[0] for d in found.description]
     df = queries.QUERIES[name](spark, SF)
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, found.fetchall())
+
+
+def test_resampling_takes_clusters_of_all_cohorts(spark):
+    c = queries.QUERIES["q09_clusters"](spark, SF).cache()
+    table = sorted(tuple(r)[:1] + tuple(r)[2:] for r in c.collect())
+    n = len(table)
+    pick = lambda draw, slot: int(hashlib.md5(f"bootstrap-{draw}-{slot}".encode()).hexdigest()[:15], 16) % n
+    want = [(d, *map(sum, zip(*[table[pick(d, s)][1:] for s in range(n)]))) for d in range(100)]
+    assert sorted(map(tuple, queries.QUERIES["q15_bootstrap_draws"](spark, SF).collect())) == want
+    whole = stats.rates(c).first()
+    r = queries.QUERIES["q16_bootstrap_interval"](spark, SF).first()
+    for rate in ("dialect_rate", "plain_rate", "difference"):
+        assert r[f"{rate}_low"] < whole[rate] < r[f"{rate}_high"]
+    p, exact = queries.QUERIES["q17_permutation_test"](spark, SF).first(), stats.permutation_null(c).first()
+    assert p["observed"] == pytest.approx(whole["difference"], abs=1e-12) and 1 / 20_001 <= p["p"] < 1 / 51
+    assert abs(p["null_mean"] - exact["null_mean"]) < 5 * exact["null_sd"] / 20_000**0.5
+    assert p["null_sd"] == pytest.approx(exact["null_sd"], rel=0.03)
