@@ -136,11 +136,12 @@ def plan_mix(docs: DataFrame, *, weights: tuple = WEIGHTS, cap: int = CAP) -> Da
     per = written(per.withColumn("residual", F.col("rest") - begins), "mixed_blocks")
 
     order = {r["source"]: i for i, r in enumerate(rows)}
-    drawn = {r["source"]: r["n"] for r in per.groupBy("source").agg((F.sum("whole") + F.count_if(F.col("state") > 0)).alias("n")).collect()}
-    quotas = [int(drawn.get(r["source"], 0)) for r in rows]
+    drawn = {r["source"]: r for r in per.groupBy("source").agg((F.sum("whole") + F.count_if(F.col("state") > 0)).alias("n"), F.count(F.lit(1)).alias("filled")).collect()}
+    quotas = [int(drawn[r["source"]]["n"]) if r["source"] in drawn else 0 for r in rows]
     shards = max(1, min(MOST_SHARDS, int(sum(goals)) // SHARD_WORDS, 4_000_000 // max(1, len(rows))))
     ends = splitting_tree(quotas, shards).cumsum(axis=1)
-    block_count = [x[5] for x in table]
+    # blocks that hold documents, which rank numbers: places are 0 to the quota less one, each once
+    block_count = [drawn[r["source"]]["filled"] if r["source"] in drawn else 0 for r in rows]
 
     def to_shards(batches):
         import pyarrow as pa
