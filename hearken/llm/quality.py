@@ -1,7 +1,7 @@
 """Compression classifier: zstandard dictionaries of good and bad labelled text.
 
 A text is compressed once with either dictionary; the difference of the sizes over their sum, with the share of
-its bytes that compression leaves, goes through a logistic calibration that is fitted on labelled rows which
+its bytes that compression leaves, its log length and products of these, goes through a logistic calibration that is fitted on labelled rows which
 neither dictionary has seen.
 """
 
@@ -59,12 +59,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
-def pieces(text: str, most: int = 16) -> list[bytes]:
-    """Evenly spaced pieces of a text, for a dictionary only."""
+def pieces(text: str) -> list[bytes]:
+    """A text, all of it, in pieces for a dictionary."""
     raw = text.encode("utf-8", "surrogatepass")
-    starts = range(0, max(1, len(raw)), PIECE)
-    step = -(-len(starts) // most)
-    return [raw[i : i + PIECE] for i in list(starts)[::step] if raw]
+    return [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
 
 
 def train_dictionary(samples: list[bytes], size: int = 1 << 15) -> bytes:
@@ -85,7 +83,8 @@ def compressed_sizes(texts: list[str | None], two) -> np.ndarray:
 
 def fit_quality_model(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 1600, fit_rows: int = 2400) -> QualityModel | None:
     """Fits on about sample_rows labelled rows for the dictionaries and fit_rows others for the calibration, half of
-    them of each label. Both bound what is sent to the driver and back. None where a label has no row."""
+    them of each label. Both bound the rows that are sent to the driver and back; the texts of the sample_rows come whole, so
+    that their bytes have no bound but the length of the texts. None where a label has no row."""
     marks = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("q"))
     sizes = {r["q"]: r["n"] for r in marks.groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
