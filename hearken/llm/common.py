@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,9 +80,55 @@ def sampled(key: Column, rate: Column | float, seed: str) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < rate * 1_000_000
 
 
-def by_slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+#: Rows of a table that is broadcast at most; it holds ids, hashes or short lists of them, so that this is some ten MB.
+FEW_ROWS = 100_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table, marked for a broadcast if it has FEW_ROWS at most; a larger one is shuffled."""
+    return F.broadcast(table) if table.count() <= FEW_ROWS else table
+
+
+class Store(dict):
+    """What a Python worker keeps for its next tasks, LIMIT bytes at most: a full store starts again."""
+
+    LIMIT = 32 << 20
+    _all: list[Store] = []
+
+    def __init__(self, owner: str):
+        super().__init__()
+        self.owner, self.size = owner, 0
+        Store._all.append(self)
+
+    def keep(self, key, value, size: int) -> None:
+        """size: bytes of key and value, without what any entry takes."""
+        self.size += size + 200
+        if self.size > self.LIMIT:
+            self.clear()
+            self.size = size + 200
+        self[key] = value
+
+
+def only(owner: str) -> None:
+    """Empties the stores of the worker that other operators have filled."""
+    for store in Store._all:
+        if store.owner != owner and store:
+            store.clear()
+            store.size = 0
+
+
+def by_slices(batch: pa.RecordBatch, rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of so many rows at most, which hold about so many bytes of text at most unless one row has more."""
+    weight = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            weight += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(weight), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 256) -> DataFrame:

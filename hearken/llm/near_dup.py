@@ -3,17 +3,23 @@
 Words are split at white space; the k-mers are shingles of five words, labelled by occurrence (the third copy of a
 shingle in a text is another element than the first). Every one of TABLES sketches hashes the labelled shingles,
 takes the PICKS smallest and keeps them in text order, so that it agrees for texts that share both shingles and their
-order. Texts that agree in a sketch are candidates; a candidate is confirmed by the longest common subsequence of the
-two shingle sequences inside a diagonal band: with L common shingles in order, of n and m, its similarity is
-L / (n + m - L). The band is as wide as a pair at the threshold can need, so that it loses nothing.
+order. Texts that agree in a sketch are candidates. A candidate is confirmed by the edit distance of the two word
+sequences, by bit-parallel alignment inside the diagonal band that the threshold needs: the similarity is 1 less the distance over
+the number of words of the longer text, and links reach THRESHOLD.
 
-At similarity 0.8 two texts agree in one sketch with probability 0.8 ** 4, and in none of 20 with about 3e-5.
+With a share e of the words replaced at random places, a shingle outlives it with probability s = (1 - e) ** 5, the texts
+share j = s / (2 - s) of their shingles, and a sketch agrees with j ** 2. One of the 24 does with 0.99999 at 5 % of the words, 0.990
+at 10 %, 0.87 at 15 % and 0.61 at 20 %, which is the very threshold; edits that stand together cost fewer shingles. As one
+changed word of a short text leaves few shingles, texts under SHORT words are sketched by pairs of words too, and
+those of up to TINY words, where one edit is the most that the threshold lets pass, meet by all their words but one, which
+misses nothing.
 
 Exact copies (equal word sequences) are collapsed by a digest first. In each bucket of equal sketches every text is
-then compared with the smallest id of the bucket; buckets that still hold several components are compared with 64
+then compared with one text of the bucket; buckets that still hold several components are compared with 64
 of their texts, then 4096, and so on until all their pairs of different components have been met. A group of copies
-thus costs rows in proportion to its size. Texts with fewer than five words have one shingle, all their words. Null
-texts, texts without words and rows without an id are in no group.
+thus costs rows in proportion to its size. Before two texts are aligned, the parities of their words' counts by hash are
+compared: an edit changes two of them at most, so that this loses nothing. Null texts, texts without words and rows
+without an id are in no group; rows that share an id but not their words are judged apart.
 """
 
 from __future__ import annotations
@@ -22,19 +28,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import drop_written, mapped, written
+from hearken.llm.common import Store, drop_written, few, mapped, only, written
 from hearken.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
-TABLES, PICKS = 20, 4
-#: Bits of a pair's one-bit minimum hashes, and how many may differ: at similarity 0.8 one in ten does on average, and
-#: 189 of 1536 are three standard deviations more, so that the filter before the alignment loses about one pair in a
-#: thousand at the very threshold and none that is much above it.
-BITS, DIFFER = 1536, 189
-_MASK = (1 << 64) - 1
+TABLES, PICKS = 24, 2
+#: Texts of fewer words are sketched by pairs of words; those of LONG words or more by shingles. Both, where a pair's texts
+#: may stand on either side.
+SHORT, LONG, TINY = 32, 26, 9
+#: Rows of a bucket that one task meets with its leaders.
+DEAL = 1024
+#: What str.split() takes for white space.
+_SPACES = "".join(rf"\x{{{c:x}}}" for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 def _multipliers(n: int, seed: int) -> np.ndarray:
@@ -45,7 +53,6 @@ _BY_PLACE = _multipliers(WORDS, 11)
 _BY_TABLE = _multipliers(TABLES, 12)[:, None]
 _PLUS = _multipliers(TABLES, 13)[:, None]
 _BY_PICK = _multipliers(PICKS, 14)
-_BY_BIT = (_multipliers(BITS, 15) >> np.uint64(20)).astype(np.uint32)[:, None] | np.uint32(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,30 +64,30 @@ def word_hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-class Hasher(dict):
-    """Hashes of words, kept for the most of them that come first."""
-
-    MOST = 300_000
+class Hasher(Store):
+    """Hashes of words."""
 
     def __missing__(self, word: str) -> int:
         h = word_hash(word)
-        if len(self) < self.MOST:
-            self[word] = h
+        self.keep(word, h, 40 + len(word))
         return h
 
 
 #: One in each Python worker; pickled by name, not by value.
-HASHES = Hasher()
+HASHES = Hasher("near_dup")
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def shingle_hashes(words: list[str]) -> np.ndarray:
-    """A 64-bit hash for each shingle, in text order."""
-    w = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    if len(w) < WORDS:
+def shingle_hashes(w: np.ndarray, k: int = WORDS) -> np.ndarray:
+    """A 64-bit hash for each shingle of k words, in text order, from the words' hashes; of all words if they are fewer."""
+    if len(w) < k:
         return _mix((w * _BY_PLACE[: len(w)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(w)))
-    n = len(w) - WORDS + 1
+    n = len(w) - k + 1
     out = np.zeros(n, np.uint64)
-    for j in range(WORDS):
+    for j in range(k):
         out += w[j : j + n] * _BY_PLACE[j]
     return _mix(out)
 
@@ -100,185 +107,230 @@ def with_occurrences(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_sketch(labelled: np.ndarray, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """(TABLES bucket keys, BITS bits in 64-bit words). A long text goes through in blocks, so that memory is bounded."""
+def order_sketch(labelled: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """TABLES bucket keys. A long text goes through in blocks, so that memory is bounded."""
     best_h = np.zeros((TABLES, 0), np.uint64)
     best_i = np.zeros((TABLES, 0), np.int64)
-    minima = np.full(BITS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(labelled), block):
         part = labelled[at : at + block]
-        h = (part[None, :] * _BY_TABLE + _PLUS)
+        h = part[None, :] * _BY_TABLE + _PLUS
         h ^= h >> np.uint64(32)
+        i = np.broadcast_to(np.arange(at, at + len(part)), h.shape)
         if best_h.shape[1]:
-            h = np.concatenate([best_h, h], axis=1)
-            i = np.concatenate([best_i, np.broadcast_to(np.arange(at, at + len(part)), (TABLES, len(part)))], axis=1)
-        else:
-            i = None
+            h, i = np.concatenate([best_h, h], axis=1), np.concatenate([best_i, i], axis=1)
         if h.shape[1] > PICKS:
             pick = np.argpartition(h, PICKS - 1, axis=1)[:, :PICKS]
-            h, i = np.take_along_axis(h, pick, 1), pick if i is None else np.take_along_axis(i, pick, 1)
-        best_h, best_i = h, np.broadcast_to(np.arange(h.shape[1]), h.shape) if i is None else i
-        folded = (part ^ (part >> np.uint64(32))).astype(np.uint32)
-        for g in range(0, BITS, 64):
-            minima[g : g + 64] = np.minimum(minima[g : g + 64], (folded[None, :] * _BY_BIT[g : g + 64]).min(axis=1))
-    order = np.argsort(best_i, axis=1)
-    in_text = np.take_along_axis(best_h, order, 1)
-    keys = _mix((in_text * _BY_PICK[: in_text.shape[1]]).sum(axis=1, dtype=np.uint64) + _PLUS[:, 0])
-    minima = (minima ^ (minima >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    one_bit = ((minima ^ (minima >> np.uint32(12))) * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8)
-    return keys.view(np.int64), np.packbits(one_bit).view(np.int64)
-
-
-def common_in_order(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Longest common subsequence that uses pairs of places at most band apart, by bit-parallel rows of the band.
-
-    Bit t of the row stands for place j - band + t of a; a zero bit adds one to the length.
-    """
-    places: dict[int, list[int]] = {}
-    for i, x in enumerate(a.tolist()):
-        places.setdefault(x, []).append(i)
-    width = 2 * band + 1
-    full, top = (1 << width) - 1, 1 << (width - 1)
-    v, left = full, 0
-    for j, x in enumerate(b.tolist()):
-        if j:
-            left += not v & 1
-            v = (v >> 1) | top
-        if found := places.get(x):
-            base = j - band
-            m = 0
-            for i in found:
-                if 0 <= i - base < width:
-                    m |= 1 << (i - base)
-            if m:
-                u = v & m
-                v = ((v + u) | (v - u)) & full
-    return left + width - v.bit_count()
-
-
-def similarity_at_least(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
-    """Whether the in-order similarity of two shingle sequences reaches the threshold."""
-    n, m = len(a), len(b)
-    need = int(np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9))
-    if need > min(n, m):
-        return False
-    if len(np.intersect1d(a, b, assume_unique=True)) < need:  # labelled shingles are unique: the size of the multiset intersection
-        return False
-    return common_in_order(a, b, n + m - 2 * need) >= need
+            h, i = np.take_along_axis(h, pick, 1), np.take_along_axis(i, pick, 1)
+        best_h, best_i = h, i
+    in_text = np.take_along_axis(best_h, np.argsort(best_i, axis=1), 1)
+    return _mix((in_text * _BY_PICK[: in_text.shape[1]]).sum(axis=1, dtype=np.uint64) + _PLUS[:, 0])
+
+
+def bucket_keys(w: np.ndarray) -> np.ndarray:
+    """The keys of all buckets that a text of these words goes to, each once."""
+    keys = []
+    if len(w) >= LONG:
+        keys.append(order_sketch(with_occurrences(shingle_hashes(w))))
+    if len(w) < SHORT:
+        keys.append(_mix(order_sketch(with_occurrences(shingle_hashes(w, 2))) + np.uint64(1)))
+    if len(w) <= TINY:
+        at = w * _mix(np.arange(1, len(w) + 1, dtype=np.uint64))  # place by place, so that all but one word add up at once
+        later = w * _mix(np.arange(len(w), dtype=np.uint64))
+        less = np.cumsum(at) - at + np.cumsum(later[::-1])[::-1] - later
+        keys.append(_mix(np.append(less, at.sum(dtype=np.uint64)) + np.uint64(2)))
+    return np.unique(np.concatenate(keys)).view(np.int64)
+
+
+def parities(w: np.ndarray) -> np.ndarray:
+    """Whether the words in each class of hashes are odd in number, as bits; 1.5 classes or more for a word."""
+    size = 64
+    while size < 1.5 * len(w):
+        size *= 2
+    odd = np.bincount((w & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def distance_within(a: list[str], b: list[str], most: int) -> int | None:
+    """The edit distance of two sequences if it is at most `most`, by bit-parallel columns of the band |i - j| <= most."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    a, b = a[low : len(a) - high], b[low : len(b) - high]
+    m, n = len(a), len(b)
+    if abs(m - n) > most:
+        return None
+    if not m or not n:
+        return max(m, n)
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    k = min(most, max(m, n))
+    # bit t of column j stands for row j - k + t; differences of neighbours, up and along, are bits
+    full, bottom = (1 << (2 * k + 1)) - 1, 1 << (2 * k)
+    up, down = full & ~((1 << k) - 1), 0
+    score, along = min(m, k), 1 << (min(m, k) + k)
+    for j, x in enumerate(b, 1):
+        found = places.get(x, 0)
+        same = (found >> (j - k - 1) if j > k else found << (k + 1 - j)) & full
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right, left = down | (full & ~(diagonal | up)), diagonal & up
+        if j + k <= m:
+            score += not diagonal & bottom
+        else:
+            along >>= 1
+            score += bool(right & along) - bool(left & along)
+        shifted = (diagonal & full) >> 1
+        up, down = left | (full & ~(shifted | right)), shifted & right
+        up &= full
+    return score if score <= most else None
+
+
+def edits_allowed(n: int, m: int, threshold: float = THRESHOLD) -> int:
+    return int((1 - threshold) * max(n, m) + 1e-9)
+
+
+def near(a: list[str], b: list[str], threshold: float = THRESHOLD) -> bool:
+    """Whether the edit similarity of two word sequences reaches the threshold."""
+    return distance_within(a, b, edits_allowed(len(a), len(b), threshold)) is not None
+
+
+def digest(text: Column) -> Column:
+    """16 bytes that stand for the words of a text; null for one without words."""
+    words = F.trim(F.regexp_replace(text, f"[{_SPACES}]+", " "))
+    return F.when(F.length(words) > 0, F.unhex(F.md5(words)))
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n, keys, bits) for rows with an id and words."""
+    """(doc_id, digest, h, n, keys, odd) for rows with an id and words; h is a hash of the digest."""
+
     def run(batch: pa.RecordBatch) -> dict:
+        only("near_dup")
         out = []
-        for text in batch.column(1).to_pylist():
-            words = text.split()
-            if not words:
-                out.append((None, None, None, None))
-                continue
-            digest = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            labelled = with_occurrences(shingle_hashes(words))
-            keys, bits = order_sketch(labelled)
-            out.append((digest, len(labelled), keys, bits))
+        for text in batch.column(2).to_pylist():
+            w = word_hashes(text.split())
+            out.append((len(w), bucket_keys(w), parities(w)))
         return {
             "doc_id": batch.column(0),
-            "digest": pa.array([x[0] for x in out], pa.binary()),
-            "n": pa.array([x[1] for x in out], pa.int32()),
-            "keys": pa.array([x[2] for x in out], pa.list_(pa.int64())),
-            "bits": pa.array([x[3] for x in out], pa.list_(pa.int64())),
+            "digest": batch.column(1),
+            "n": pa.array([x[0] for x in out], pa.int32()),
+            "keys": pa.array([x[1] for x in out], pa.list_(pa.int64())),
+            "odd": pa.array([x[2] for x in out], pa.list_(pa.int64())),
         }
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    return mapped(rows, run, "doc_id long, digest binary, n int, keys array<bigint>, bits array<bigint>").filter("digest is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"), "text").filter("doc_id is not null and digest is not null")
+    return mapped(rows, run, "doc_id long, digest binary, n int, keys array<bigint>, odd array<bigint>").withColumn("h", F.xxhash64("digest"))
+
 
+def _near_bags(left: Column, right: Column) -> Column:
+    """Whether two rows (n, odd) can be within the distance: lengths and parities each need as many edits at least."""
+    half = lambda x: F.zip_with(F.slice(x, 1, F.size(x) / 2), F.slice(x, F.size(x) / 2 + 1, F.size(x) / 2), lambda a, b: a.bitwiseXOR(b))
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)
+    a, b, n, m = left["odd"], right["odd"], left["n"], right["n"]
+    most = F.floor(F.greatest(n, m) * (1 - THRESHOLD) + 1e-9)
+    differ = F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # of texts whose lengths are that close, one has at most twice as many classes
+    return F.when(F.abs(n - m) <= most, differ + F.abs(n - m) <= 2 * most).otherwise(F.lit(False))
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts reach the threshold."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+
+def verified(pairs: DataFrame, meta: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links (a, b), as digests, of the pairs (a, b), as hashes of digests, whose texts reach the threshold."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    needed = written(meta.select("h", "digest", "doc_id").join(ids, "h", "left_semi").distinct(), "needed")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    # the words' digest is taken only of rows whose id is needed
+    texts = rows.join(few(needed), "doc_id").filter(digest(F.col("text")) == F.col("digest")).select("h", "digest", "text")
+    texts = written(texts, "texts")
 
     def run(batch: pa.RecordBatch) -> dict:
-        left_ids, right_ids, kept_of, kept = [], [], None, None
+        out, kept_of, kept = [], None, None
         for a, b, left, right in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if b != kept_of:
-                kept_of, kept = b, with_occurrences(shingle_hashes(right.split()))
-            if similarity_at_least(with_occurrences(shingle_hashes(left.split())), kept):
-                left_ids.append(a)
-                right_ids.append(b)
-        return {"a": pa.array(left_ids, pa.int64()), "b": pa.array(right_ids, pa.int64())}
-
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-    return mapped(joined.select("a", "b", "left", "right"), run, "a long, b long", rows=64)
-
-
-def _agreeing(left: str, right: str):
-    words = [F.bit_count(F.element_at(F.col(left), i).bitwiseXOR(F.element_at(F.col(right), i))) for i in range(1, BITS // 64 + 1)]
-    return sum(words[1:], words[0]) <= DIFFER
-
-
-def _near_length(left: str, right: str):
-    return F.least(left, right) >= THRESHOLD * F.greatest(left, right)
+                kept_of, kept = b, right.split()
+            if a != b and near(left.split(), kept):
+                out.append((a, b))
+        return {"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())}
+
+    side = lambda k, d, t: texts.select(F.col("h").alias(k), F.col("digest").alias(d), F.col("text").alias(t))
+    joined = pairs.join(side("a", "da", "left"), "a").join(side("b", "db", "right"), "b").select("da", "db", "left", "right")
+    out = written(mapped(joined, run, "a binary, b binary", rows=64).distinct(), "links")
+    drop_written(needed, texts)
+    return out
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, copy_of) for each distinct id of docs that has words: class_id is the smallest id of its
-    class, copy_of the smallest id with the same words. An id on rows with several texts goes by its smallest digest."""
+    """(doc_id, digest, class_id, class_digest) for each row of docs with an id and words: the class is named by its
+    smallest id, and the smallest digest of that."""
     sketches = written(sketch_table(docs), "sketches")
-    one = sketches.groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    first = written(one.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "copies")
-    named = one.join(first, "digest").select("doc_id", "copy_of")
-    reps = sketches.join(first, (sketches["doc_id"] == first["copy_of"]) & (sketches["digest"] == first["digest"]), "left_semi").dropDuplicates(["doc_id"])
-    meta = written(reps.select("doc_id", "n", "bits", "keys"), "sketched")
-    buckets = meta.select("doc_id", F.posexplode("keys").alias("t", "key")).select("doc_id", "t", F.xxhash64("t", "key").alias("key"))
-    small = meta.select("doc_id", "n", "bits")
-
-    least = buckets.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).filter("b < most").select("key", "b")
-    pairs = buckets.join(least, "key").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    pairs = pairs.join(small.toDF("a", "na", "ma"), "a").join(small.toDF("b", "nb", "mb"), "b").filter(_near_length("na", "nb") & _agreeing("ma", "mb")).select("a", "b")
-    edges = written(verified(pairs, docs), "links")
-    rounds, leaders = [edges], 64
+    first = written(sketches.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "copies")
+    meta = written(sketches.join(first, ["digest", "doc_id"], "left_semi"), "sketched")
+    bag = F.struct("n", "odd")
+    buckets = meta.select("h", F.explode("keys").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min("h").alias("b"), F.max("h").alias("most")).filter("b < most").select("key", "b")
+    shared = written(buckets.join(shared, "key"), "buckets")  # of two texts at least
+    pairs = shared.filter("h <> b").select(F.col("h").alias("a"), "b").distinct()
+    bags = meta.select("h", bag.alias("bag"))
+    pairs = pairs.join(bags.toDF("a", "x"), "a").join(bags.toDF("b", "y"), "b").filter(_near_bags(F.col("x"), F.col("y"))).select("a", "b").distinct()
+    edges = verified(written(pairs, "pairs"), meta, docs)
+    leaders = 64
     while True:
-        found = components(edges)
-        label = meta.select("doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-        label = written(label, "labels")
-        shared = buckets.join(buckets.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key"), "key", "left_semi")
-        open_rows = shared.join(label, "doc_id")
-        mixed = open_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
+        found = written(components(edges), "components")
+        label = meta.select("h", "digest", bag.alias("bag")).join(found.withColumnRenamed("id", "digest"), "digest", "left")
+        label = label.select("h", F.coalesce("component", "digest").alias("component"), "bag")
+        met = shared.select("key", "h").join(label, "h")
+        mixed = met.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
         if leaders > 64:
             mixed = mixed.filter(F.col("size") > leaders // 64)
-        rest = open_rows.join(mixed.select("key", "size"), "key").join(meta.select("doc_id", "n", "bits", "keys"), "doc_id")
-        rest = written(rest.select("key", "t", "doc_id", "component", "n", "bits", "keys", "size"), "open")
+        rest = written(met.join(mixed.select("key", "size"), "key"), "open")
         if rest.isEmpty():
             drop_written(rest)
             break
-        # in a bucket of up to 64 texts all of them lead, else one of each hash class
-        heads = rest.withColumn("class", F.when(F.col("size") <= leaders, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(leaders)), F.lit(leaders))))
-        heads = heads.groupBy("key", "class").agg(F.min_by(F.struct("doc_id", "component", "n", "bits", "keys"), "doc_id").alias("h"))
-        heads = heads.select("key", *[F.col(f"h.{c}").alias(f"{c}_b") for c in ("doc_id", "component", "n", "bits", "keys")])
-        # a pair is met in the first of the tables that it shares, and nowhere else
-        first_shared = F.array_position(F.zip_with("keys", "keys_b", lambda x, y: x == y), F.lit(True)) == F.col("t") + 1
-        met = rest.join(heads, (rest["key"] == heads["key"]) & (F.col("component") != F.col("component_b")) & _near_length("n", "n_b") & _agreeing("bits", "bits_b") & first_shared)
-        pairs = written(met.select(F.greatest("doc_id", "doc_id_b").alias("a"), F.least("doc_id", "doc_id_b").alias("b")).distinct(), "pairs")
-        more = written(verified(pairs, docs), "links")
-        rounds.append(more)
-        edges = edges.unionByName(more)
-        drop_written(label, rest, pairs)
+        # in a bucket of up to `leaders` texts all of them lead, else one of each hash class; a large bucket's texts are dealt to
+        # several tasks, each of which has the leaders
+        heads = rest.withColumn("class", F.when(F.col("size") <= leaders, F.col("h")).otherwise(F.pmod(F.xxhash64("h", F.lit(leaders)), F.lit(leaders))))
+        heads = heads.groupBy("key", "class", "size").agg(F.min_by(F.struct("h", "component", "bag"), "h").alias("head"))
+        tasks = F.ceil(F.col("size") / DEAL).cast("int")
+        heads = heads.select("key", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), "head")
+        dealt = rest.withColumn("task", F.pmod("h", tasks).cast("int"))
+        close = (F.col("component") != F.col("head.component")) & _near_bags(F.col("bag"), F.col("head.bag"))
+        pairs = dealt.join(heads, (dealt["key"] == heads["key"]) & (dealt["task"] == heads["task"]) & close)
+        pairs = written(pairs.select(F.greatest("h", "head.h").alias("a"), F.least("h", "head.h").alias("b")).distinct(), "pairs")
+        edges = edges.unionByName(verified(pairs, meta, docs))
+        drop_written(rest, pairs)
         leaders *= 64
-    out = named.join(label.select(F.col("doc_id").alias("copy_of"), "component"), "copy_of")
-    return out.select("doc_id", F.col("component").alias("class_id"), "copy_of")
+    linked = found.select(F.col("id").alias("digest"), "component").join(first, "digest")
+    named = linked.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("least"))
+    named = linked.join(named, "component").select("digest", "least")
+    per = first.join(named, "digest", "left").select("digest", F.coalesce("least", F.struct("doc_id", "digest")).alias("least"))
+    return sketches.select("doc_id", "digest").join(per, "digest").select("doc_id", "digest", F.col("least.doc_id").alias("class_id"), F.col("least.digest").alias("class_digest"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (its own id where it is in no group), kept (doc_id = class_id)."""
-    found = near_classes(docs)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    out = ids.join(found.select("doc_id", "class_id"), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    """One row per row of docs: doc_id, class_id (its own id where it is in no group), kept. Kept is the text that its
+    class is named by, on all rows that repeat it under that id."""
+    found = near_classes(docs).select("doc_id", "class_id", ((F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("class_digest"))).alias("kept"))
+    id = F.col("doc_id").cast("long")
+    rest = docs.filter(id.isNull() | F.col("text").isNull() | ~F.col("text").rlike(f"[^{_SPACES}]"))
+    return found.unionByName(rest.select(id.alias("doc_id"), id.alias("class_id"), F.lit(True).alias("kept")))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class, that of the smallest id; of rows that share this id one stays. Rows without
-    an id, and those without words, stay."""
-    losers = near_classes(docs).filter("doc_id <> class_id").select("doc_id")
-    with_id = docs.filter("doc_id is not null and length(trim(coalesce(text, ''))) > 0").dropDuplicates(["doc_id"])
-    rest = docs.filter("doc_id is null or length(trim(coalesce(text, ''))) = 0")
-    return with_id.join(losers, "doc_id", "left_anti").unionByName(rest).select(*docs.columns)
+    """Keeps one document of each class, the one that it is named by; of rows that repeat its id and its words one stays.
+    Rows without an id, and those without words, stay."""
+    found = written(near_classes(docs), "classes")
+    one = (F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
+    again = written(found.filter(one).groupBy("doc_id", "digest").count().filter("count > 1").select("doc_id", "digest"), "repeated")
+
+    def without(rows: DataFrame, gone: DataFrame, anti: bool = True) -> DataFrame:
+        """The rows, or else those rows, whose id and words are among those gone; the digest is taken only where the id is."""
+        per = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("digest").alias("_gone"))
+        hit = F.when(F.col("_gone").isNull(), F.lit(False)).otherwise(F.coalesce(F.array_contains("_gone", digest(F.col("text"))), F.lit(False)))
+        return rows.join(few(written(per, "gone")), F.col("doc_id").cast("long") == F.col("_gone_id"), "left").filter(~hit if anti else hit).select(*docs.columns)
+
+    kept = without(docs, found.filter(~one))
+    if again.isEmpty():
+        return kept
+    repeated = without(kept, again, anti=False).withColumn("_words", digest(F.col("text"))).dropDuplicates(["doc_id", "_words"]).drop("_words")
+    return without(kept, again).unionByName(repeated)

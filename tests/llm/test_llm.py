@@ -99,26 +99,17 @@ def test_quality_odd(spark, odd):
 # ---- 3 ----------------------------------------------------------------------------------------------------------
 
 
-def labelled(text):
-    w = text.split()
-    seen, out = Counter(), []
-    for i in range(max(1, len(w) - 4)):
-        s = tuple(w[i : i + 5])
-        out.append((s, seen[s]))
-        seen[s] += 1
-    return out
-
-
-def plain_common(a, b):
-    row = [0] * (len(b) + 1)
-    for x in a:
-        prev = 0
-        for j, y in enumerate(b):
-            prev, row[j + 1] = row[j + 1], prev + 1 if x == y else max(row[j + 1], row[j])
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
     return row[-1]
 
 
 def brute_classes(texts):
+    """Classes of texts linked by a word edit similarity of 0.8 or more."""
     parent = {d: d for d in texts}
 
     def find(x):
@@ -126,16 +117,15 @@ def brute_classes(texts):
             x = parent[x]
         return x
 
-    ids = sorted(d for d, t in texts.items() if t and t.split())
-    shingles = {d: labelled(texts[d]) for d in ids}
-    sets = {d: set(s) for d, s in shingles.items()}
+    words = {d: t.split() for d, t in texts.items() if t and t.split()}
+    bags, ids = {d: Counter(w) for d, w in words.items()}, sorted(words)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            n, m = len(shingles[a]), len(shingles[b])
-            if min(n, m) < 0.8 * max(n, m) or len(sets[a] & sets[b]) * 1.8 < 0.8 * (n + m):
+            n, m = len(words[a]), len(words[b])
+            most = max(n, m) // 5
+            if abs(n - m) > most or max(n, m) - (bags[a] & bags[b]).total() > most:
                 continue
-            common = plain_common(shingles[a], shingles[b])
-            if common >= 0.8 * (n + m - common):
+            if edit_distance(words[a], words[b]) <= most:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {d: find(d) for d in texts}
@@ -167,18 +157,89 @@ def test_near_dup_groups_of_variants(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs).collect()} == brute_classes(texts)
 
 
-@given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30))
+@given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30), st.integers(0, 31))
+@settings(max_examples=300, deadline=None)
+def test_banded_alignment(a, b, most):
+    d = edit_distance(a, b)
+    assert near_dup.distance_within(a, b, most) == (d if d <= most else None)
+
+
+def edited(rng, words, share):
+    """A copy with so many replaced, inserted and left out words at random places."""
+    out = list(words)
+    for _ in range(int(len(words) * share)):
+        at, kind = rng.randrange(len(out)), rng.randrange(4)
+        if kind == 0:
+            out.pop(at)
+        elif kind == 1:
+            out.insert(at, f"n{rng.randrange(10**6)}")
+        else:
+            out[at] = f"n{rng.randrange(10**6)}"
+    return out
+
+
+def test_near_dup_recall_by_edits(spark):
+    """Planted pairs with 1 to 8 % of the words edited, which all reach the similarity by the plain distance: 0.98 of them are found."""
+    rng = random.Random(8)
+    texts = {}
+    for i in range(300):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((30, 60, 120, 400)))]
+        texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join(edited(rng, base, rng.randint(1, 8) / 100))
+    assert all(edit_distance(texts[i].split(), texts[i + 1].split()) * 5 <= len(texts[i].split()) for i in range(0, 120, 2))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all(got[i] in (i, i - i % 2) for i in got)
+    assert sum(got[i + 1] == i for i in range(0, 600, 2)) >= 0.98 * 300
+
+
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=8), st.integers(0, 7), st.integers(0, 2))
 @settings(max_examples=200, deadline=None)
-def test_banded_alignment(a, b):
-    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
-    assert near_dup.common_in_order(x, y, 60) == plain_common(a, b)
-    assert near_dup.common_in_order(x, y, 2) <= plain_common(a, b)
+def test_tiny_texts_meet(words, at, kind):
+    """Texts of up to nine words that one edit parts share a bucket."""
+    other, at = list(words), at % len(words)
+    if kind == 0 and len(words) > 1:
+        other.pop(at)
+    elif kind == 1:
+        other.insert(at, 77)
+    else:
+        other[at] = 77
+    keys = [set(near_dup.bucket_keys(near_dup.word_hashes([f"w{x}" for x in w])).tolist()) for w in (words, other)]
+    assert keys[0] & keys[1]
+
+
+@given(st.integers(5, 300), st.integers(0, 10**6))
+@settings(max_examples=100, deadline=None)
+def test_parities_lose_nothing(n, seed):
+    rng = random.Random(seed)
+    a = [f"w{rng.randrange(80)}" for _ in range(n)]
+    b = edited(rng, a, rng.random() / 5)
+    x, y = (near_dup.parities(near_dup.word_hashes(w)) for w in (a, b))
+    while len(x) != len(y):
+        x, y = (v[: len(v) // 2] ^ v[len(v) // 2 :] if len(v) == max(len(x), len(y)) else v for v in (x, y))
+    differ = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+    assert differ + abs(len(a) - len(b)) <= 2 * edit_distance(a, b)
 
 
 def test_sketch_in_blocks():
     x = near_dup._mix(np.arange(1000, dtype=np.uint64))
-    a, b = near_dup.order_sketch(x), near_dup.order_sketch(x, 37)
-    assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+    assert (near_dup.order_sketch(x) == near_dup.order_sketch(x, 37)).all()
+
+
+def test_words_digest_is_that_of_split(spark):
+    """All white space that str.split() knows, and an id on rows with several texts."""
+    blanks = "".join(map(chr, [c for c in range(0x3001) if chr(c).isspace()]))
+    rows = [(1, "a b"), (2, f"{blanks}a{blanks}b{blanks}"), (3, "".join(f"a{c}" for c in blanks)), (4, "a " * len(blanks)), (5, blanks)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def test_near_dup_of_an_id_with_several_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, one), (7, one), (7, two), (7, two), (9, two), (None, one), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_dup.classes(docs).collect() if r["doc_id"] is not None)
+    assert got == [(3, 3, True), (7, 3, False), (7, 7, True), (7, 7, True), (9, 7, False), (9, 9, True)]
+    kept = Counter(tuple(r) for r in near_dup.stage(spark, docs, SF).collect())
+    assert kept == Counter([(3, one), (7, two), (None, one), (9, None)])
 
 
 def test_near_dup_odd(spark, odd):
