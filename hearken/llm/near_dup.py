@@ -41,8 +41,8 @@ TABLES, PICKS = 24, 2
 SHORT, LONG, TINY = 32, 26, 9
 #: Rows of a bucket that one task meets with its leaders.
 DEAL = 1024
-#: What str.split() takes for white space.
-_SPACES = "".join(rf"\x{{{c:x}}}" for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+#: Rounds in which the texts of a bucket that holds several components meet one text of another component only.
+STARS = 3
 
 
 def _multipliers(n: int, seed: int) -> np.ndarray:
@@ -197,31 +197,29 @@ def near(a: list[str], b: list[str], threshold: float = THRESHOLD) -> bool:
     return distance_within(a, b, edits_allowed(len(a), len(b), threshold)) is not None
 
 
-def digest(text: Column) -> Column:
-    """16 bytes that stand for the words of a text; null for one without words."""
-    words = F.trim(F.regexp_replace(text, f"[{_SPACES}]+", " "))
-    return F.when(F.length(words) > 0, F.unhex(F.md5(words)))
+def hashes(text: Column) -> list[Column]:
+    """Two independent 64-bit hashes, which stand for a text together."""
+    return [F.xxhash64(text).alias("d1"), F.xxhash64(F.lit("second"), text).alias("d2")]
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, h, n, keys, odd) for rows with an id and words; h is a hash of the digest."""
+    """(doc_id, d1, d2, n, keys, odd) for rows with an id and a text; n is 0 for a text without words."""
 
     def run(batch: pa.RecordBatch) -> dict:
         only("near_dup")
         out = []
-        for text in batch.column(2).to_pylist():
+        for text in batch.column(3).to_pylist():
             w = word_hashes(text.split())
-            out.append((len(w), bucket_keys(w), parities(w)))
+            out.append((len(w), bucket_keys(w), parities(w)) if len(w) else (0, None, None))
         return {
-            "doc_id": batch.column(0),
-            "digest": batch.column(1),
+            **{c: batch.column(i) for i, c in enumerate(("doc_id", "d1", "d2"))},
             "n": pa.array([x[0] for x in out], pa.int32()),
             "keys": pa.array([x[1] for x in out], pa.list_(pa.int64())),
             "odd": pa.array([x[2] for x in out], pa.list_(pa.int64())),
         }
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"), "text").filter("doc_id is not null and digest is not null")
-    return mapped(rows, run, "doc_id long, digest binary, n int, keys array<bigint>, odd array<bigint>").withColumn("h", F.xxhash64("digest"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashes(F.col("text")), "text").filter("doc_id is not null and text is not null")
+    return mapped(rows, run, "doc_id long, d1 long, d2 long, n int, keys array<bigint>, odd array<bigint>")
 
 
 def _near_bags(left: Column, right: Column) -> Column:
@@ -236,101 +234,119 @@ def _near_bags(left: Column, right: Column) -> Column:
 
 
 def verified(pairs: DataFrame, meta: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links (a, b), as digests, of the pairs (a, b), as hashes of digests, whose texts reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    needed = written(meta.select("h", "digest", "doc_id").join(ids, "h", "left_semi").distinct(), "needed")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    # the words' digest is taken only of rows whose id is needed
-    texts = rows.join(few(needed), "doc_id").filter(digest(F.col("text")) == F.col("digest")).select("h", "digest", "text")
-    texts = written(texts, "texts")
+    """The pairs (a, b) of nodes whose texts reach the threshold."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = written(meta.select("node", "doc_id", "d1", "d2").join(ids, "node", "left_semi").distinct(), "needed")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashes(F.col("text")), "text").filter("doc_id is not null and text is not null")
+    texts = written(rows.join(few(needed), ["doc_id", "d1", "d2"]).select("node", "text"), "texts")
 
     def run(batch: pa.RecordBatch) -> dict:
         out, kept_of, kept = [], None, None
         for a, b, left, right in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if b != kept_of:
                 kept_of, kept = b, right.split()
-            if a != b and near(left.split(), kept):
+            if near(left.split(), kept):
                 out.append((a, b))
-        return {"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())}
+        return {"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())}
 
-    side = lambda k, d, t: texts.select(F.col("h").alias(k), F.col("digest").alias(d), F.col("text").alias(t))
-    joined = pairs.join(side("a", "da", "left"), "a").join(side("b", "db", "right"), "b").select("da", "db", "left", "right")
-    out = written(mapped(joined, run, "a binary, b binary", rows=64).distinct(), "links")
+    joined = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b").select("a", "b", "left", "right")
+    out = written(mapped(joined, run, "a long, b long", rows=64).distinct(), "links")
     drop_written(needed, texts)
     return out
 
 
+def _nodes(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sketches with a number for each different text, the texts' numbers with their smallest id). The number is the first hash;
+    where different texts share it, it is another hash for all of them but one."""
+    first = written(sketches.groupBy("d1").agg(F.min("d2").alias("lo"), F.max("d2").alias("hi"), F.min("doc_id").alias("doc_id")), "copies")
+    shared = written(first.filter("lo < hi").select("d1", "lo"), "shared_hashes")
+    if shared.isEmpty():
+        return sketches.withColumn("node", F.col("d1")), first.select(F.col("d1").alias("node"), "doc_id")
+    node = F.when(F.col("d2") > F.col("lo"), F.xxhash64("d1", "d2")).otherwise(F.col("d1"))
+    named = sketches.join(few(shared), "d1", "left").withColumn("node", node).drop("lo")
+    return named, written(named.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "copies")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, class_id, class_digest) for each row of docs with an id and words: the class is named by its
-    smallest id, and the smallest digest of that."""
-    sketches = written(sketch_table(docs), "sketches")
-    first = written(sketches.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "copies")
-    meta = written(sketches.join(first, ["digest", "doc_id"], "left_semi"), "sketched")
+    """(doc_id, node, class_id, class_node, d1, d2) for each row of docs with an id and a text: a node is a different text, a
+    class is named by its smallest id, and the smallest node of that. d1 and d2 are the hashes of the text."""
+    sketches, first = _nodes(written(sketch_table(docs), "sketches"))
+    meta = written(sketches.filter("n > 0").join(first, ["node", "doc_id"], "left_semi"), "sketched")
     bag = F.struct("n", "odd")
-    buckets = meta.select("h", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("h").alias("b"), F.max("h").alias("most")).filter("b < most").select("key", "b")
+    buckets = meta.select("node", F.explode("keys").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("key", "b")
     shared = written(buckets.join(shared, "key"), "buckets")  # of two texts at least
-    pairs = shared.filter("h <> b").select(F.col("h").alias("a"), "b").distinct()
-    bags = meta.select("h", bag.alias("bag"))
-    pairs = pairs.join(bags.toDF("a", "x"), "a").join(bags.toDF("b", "y"), "b").filter(_near_bags(F.col("x"), F.col("y"))).select("a", "b").distinct()
-    edges = verified(written(pairs, "pairs"), meta, docs)
-    leaders = 64
+    bags = meta.select("node", bag.alias("bag")).distinct()
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return verified(written(pairs.distinct(), "pairs"), meta, docs)
+
+    pairs = shared.filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    pairs = pairs.join(bags.toDF("a", "x"), "a").join(bags.toDF("b", "y"), "b").filter(_near_bags(F.col("x"), F.col("y"))).select("a", "b")
+    edges, leaders, stars = links(pairs), 0, STARS
     while True:
         found = written(components(edges), "components")
-        label = meta.select("h", "digest", bag.alias("bag")).join(found.withColumnRenamed("id", "digest"), "digest", "left")
-        label = label.select("h", F.coalesce("component", "digest").alias("component"), "bag")
-        met = shared.select("key", "h").join(label, "h")
-        mixed = met.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
-        if leaders > 64:
-            mixed = mixed.filter(F.col("size") > leaders // 64)
-        rest = written(met.join(mixed.select("key", "size"), "key"), "open")
+        label = bags.join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "bag")
+        open_rows = shared.select("key", "node").join(label, "node")
+        mixed = open_rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size")).filter("least < most")
+        rest = written(open_rows.join(mixed.filter(F.col("size") > leaders).select("key", "least", "size"), "key"), "open")
         if rest.isEmpty():
             drop_written(rest)
             break
-        # in a bucket of up to `leaders` texts all of them lead, else one of each hash class; a large bucket's texts are dealt to
-        # several tasks, each of which has the leaders
-        heads = rest.withColumn("class", F.when(F.col("size") <= leaders, F.col("h")).otherwise(F.pmod(F.xxhash64("h", F.lit(leaders)), F.lit(leaders))))
-        heads = heads.groupBy("key", "class", "size").agg(F.min_by(F.struct("h", "component", "bag"), "h").alias("head"))
-        tasks = F.ceil(F.col("size") / DEAL).cast("int")
-        heads = heads.select("key", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), "head")
-        dealt = rest.withColumn("task", F.pmod("h", tasks).cast("int"))
-        close = (F.col("component") != F.col("head.component")) & _near_bags(F.col("bag"), F.col("head.bag"))
-        pairs = dealt.join(heads, (dealt["key"] == heads["key"]) & (dealt["task"] == heads["task"]) & close)
-        pairs = written(pairs.select(F.greatest("h", "head.h").alias("a"), F.least("h", "head.h").alias("b")).distinct(), "pairs")
-        edges = edges.unionByName(verified(pairs, meta, docs))
-        drop_written(rest, pairs)
-        leaders *= 64
-    linked = found.select(F.col("id").alias("digest"), "component").join(first, "digest")
-    named = linked.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("least"))
-    named = linked.join(named, "component").select("digest", "least")
-    per = first.join(named, "digest", "left").select("digest", F.coalesce("least", F.struct("doc_id", "digest")).alias("least"))
-    return sketches.select("doc_id", "digest").join(per, "digest").select("doc_id", "digest", F.col("least.doc_id").alias("class_id"), F.col("least.digest").alias("class_digest"))
+        if stars:
+            # one text of the bucket's least component, each time another, meets those of all others
+            head = rest.filter("component = least").groupBy("key").agg(F.min_by(F.struct("node", "bag"), F.xxhash64("node", F.lit(stars))).alias("head"))
+            met = rest.filter("component <> least").join(head, "key").filter(_near_bags(F.col("bag"), F.col("head.bag")))
+        else:
+            # in a bucket of up to `leaders` texts all of them lead, else one of each hash class; a large bucket's texts are dealt
+            # to several tasks, each of which has the leaders
+            leaders = max(64, leaders * 64)
+            heads = rest.withColumn("class", F.when(F.col("size") <= leaders, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))))
+            heads = heads.groupBy("key", "class", "size").agg(F.min_by(F.struct("node", "component", "bag"), "node").alias("head"))
+            tasks = F.ceil(F.col("size") / DEAL).cast("int")
+            heads = heads.select("key", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), "head")
+            dealt = rest.withColumn("task", F.pmod("node", tasks).cast("int"))
+            close = (F.col("component") != F.col("head.component")) & _near_bags(F.col("bag"), F.col("head.bag"))
+            met = dealt.join(heads, (dealt["key"] == heads["key"]) & (dealt["task"] == heads["task"]) & close)
+        more = links(met.select(F.greatest("node", "head.node").alias("a"), F.least("node", "head.node").alias("b")))
+        if stars:
+            stars = 0 if more.isEmpty() else stars - 1
+        drop_written(rest)
+        edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
+    linked = found.select(F.col("id").alias("node"), "component").join(first, "node")
+    named = linked.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("least"))
+    named = linked.join(named, "component").select("node", "least")
+    per = first.join(named, "node", "left").select("node", F.coalesce("least", F.struct("doc_id", "node")).alias("least"))
+    out = sketches.select("doc_id", "node", "d1", "d2", "n").join(per, "node")
+    named = lambda own, least: F.when(F.col("n") > 0, F.col(f"least.{least}")).otherwise(F.col(own))
+    return out.select("doc_id", "node", named("doc_id", "doc_id").alias("class_id"), named("node", "node").alias("class_node"), "d1", "d2", "n")
+
+
+def _kept() -> Column:
+    return (F.col("doc_id") == F.col("class_id")) & (F.col("node") == F.col("class_node"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, class_id (its own id where it is in no group), kept. Kept is the text that its
     class is named by, on all rows that repeat it under that id."""
-    found = near_classes(docs).select("doc_id", "class_id", ((F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("class_digest"))).alias("kept"))
+    found = near_classes(docs).select("doc_id", "class_id", _kept().alias("kept"))
     id = F.col("doc_id").cast("long")
-    rest = docs.filter(id.isNull() | F.col("text").isNull() | ~F.col("text").rlike(f"[^{_SPACES}]"))
+    rest = docs.filter(id.isNull() | F.col("text").isNull())
     return found.unionByName(rest.select(id.alias("doc_id"), id.alias("class_id"), F.lit(True).alias("kept")))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class, the one that it is named by; of rows that repeat its id and its words one stays.
+    """Keeps one document of each class, the one that it is named by; of rows that repeat its id and its text one stays.
     Rows without an id, and those without words, stay."""
-    found = written(near_classes(docs), "classes")
-    one = (F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
-    again = written(found.filter(one).groupBy("doc_id", "digest").count().filter("count > 1").select("doc_id", "digest"), "repeated")
-
-    def without(rows: DataFrame, gone: DataFrame, anti: bool = True) -> DataFrame:
-        """The rows, or else those rows, whose id and words are among those gone; the digest is taken only where the id is."""
-        per = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("digest").alias("_gone"))
-        hit = F.when(F.col("_gone").isNull(), F.lit(False)).otherwise(F.coalesce(F.array_contains("_gone", digest(F.col("text"))), F.lit(False)))
-        return rows.join(few(written(per, "gone")), F.col("doc_id").cast("long") == F.col("_gone_id"), "left").filter(~hit if anti else hit).select(*docs.columns)
-
-    kept = without(docs, found.filter(~one))
+    found = written(near_classes(docs).filter("n > 0"), "classes")
+    again = written(found.filter(_kept()).groupBy("doc_id", "d1", "d2").count().filter("count > 1").select("doc_id", "d1", "d2"), "repeated")
+    names = docs.columns
+    rows = docs.withColumns({"_near_id": F.col("doc_id").cast("long"), **dict(zip(("_near_1", "_near_2"), hashes(F.col("text")), strict=True))})
+    key = ["_near_id", "_near_1", "_near_2"]
+    gone = few(written(found.filter(~_kept()).select("doc_id", "d1", "d2").distinct(), "gone").toDF(*key))
+    kept = rows.join(gone, key, "left_anti")
     if again.isEmpty():
-        return kept
-    repeated = without(kept, again, anti=False).withColumn("_words", digest(F.col("text"))).dropDuplicates(["doc_id", "_words"]).drop("_words")
-    return without(kept, again).unionByName(repeated)
+        return kept.select(*names)
+    again = few(again).toDF(*key)
+    once = kept.join(again, key, "left_semi").dropDuplicates(key)
+    return kept.join(again, key, "left_anti").unionByName(once).select(*names)

@@ -224,12 +224,17 @@ def test_sketch_in_blocks():
     assert (near_dup.order_sketch(x) == near_dup.order_sketch(x, 37)).all()
 
 
-def test_words_digest_is_that_of_split(spark):
-    """All white space that str.split() knows, and an id on rows with several texts."""
+def test_near_dup_of_equal_words(spark, monkeypatch):
+    """Texts that differ in white space only; and hashes that different texts share."""
     blanks = "".join(map(chr, [c for c in range(0x3001) if chr(c).isspace()]))
-    rows = [(1, "a b"), (2, f"{blanks}a{blanks}b{blanks}"), (3, "".join(f"a{c}" for c in blanks)), (4, "a " * len(blanks)), (5, blanks)]
-    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    rows = [(1, "a b"), (2, f"{blanks}a{blanks}b{blanks}"), (3, "".join(f"a{c}" for c in blanks)), (4, "a " * len(blanks)), (5, blanks), (6, blanks)]
+    rows += [(10 + i, " ".join(f"w{i // 2}-{j}" for j in range(50 + i % 2))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6} | {10 + i: 10 + i - i % 2 for i in range(12)}
+    for n in (64, 2):
+        text = lambda t, seed: F.shiftrightunsigned(F.xxhash64(F.lit(seed), t), 64 - n) if n < 64 else F.xxhash64(F.lit(seed), t)  # noqa: B023, E731
+        monkeypatch.setattr(near_dup, "hashes", lambda t: [text(t, "x").alias("d1"), F.xxhash64(t).alias("d2")])  # noqa: B023
+        assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs).collect()} == want
 
 
 def test_near_dup_of_an_id_with_several_texts(spark):
