@@ -12,13 +12,14 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, *, tasks: int = 1 << 20) -> DataFrame:
     """(id, component) for the ids of edges (a, b long); component is the smallest id that links reach.
 
     Every step keeps one row for an edge at most; a node with many neighbours is reduced by a partial minimum
     and met by a join that Spark can split. Self loops and repeated edges are allowed; no edges give no rows.
+    tasks: how many files each step has at most, for edges that are known to be few.
     """
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(tasks), "edges")
     mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        after = written(small.select("a", "b"), "edges")
+        after = written(small.select("a", "b").coalesce(tasks), "edges")
         drop_written(now)
         now, before, mark = after, mark, _mark(after)
         if mark == before:

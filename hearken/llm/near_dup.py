@@ -41,8 +41,8 @@ TABLES, PICKS = 24, 2
 SHORT, LONG, TINY = 32, 26, 9
 #: Rows of a bucket that one task meets with its leaders.
 DEAL = 1024
-#: Rounds in which the texts of a bucket that holds several components meet one text of another component only.
-STARS = 3
+#: Different texts that a task of what follows the sketches has at least.
+TASK_TEXTS = 4000
 
 
 def _multipliers(n: int, seed: int) -> np.ndarray:
@@ -142,9 +142,9 @@ def bucket_keys(w: np.ndarray) -> np.ndarray:
 
 
 def parities(w: np.ndarray) -> np.ndarray:
-    """Whether the words in each class of hashes are odd in number, as bits; 1.5 classes or more for a word."""
+    """Whether the words in each class of hashes are odd in number, as bits; six classes or more for a word, so that few words share one."""
     size = 64
-    while size < 1.5 * len(w):
+    while size < 6 * len(w):
         size *= 2
     odd = np.bincount((w & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
@@ -233,12 +233,12 @@ def _near_bags(left: Column, right: Column) -> Column:
     return F.when(F.abs(n - m) <= most, differ + F.abs(n - m) <= 2 * most).otherwise(F.lit(False))
 
 
-def verified(pairs: DataFrame, meta: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, meta: DataFrame, docs: DataFrame, tasks: int) -> DataFrame:
     """The pairs (a, b) of nodes whose texts reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = written(meta.select("node", "doc_id", "d1", "d2").join(ids, "node", "left_semi").distinct(), "needed")
+    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = written(meta.select("node", "doc_id", "d1", "d2").join(ids, "node", "left_semi").distinct().coalesce(tasks), "needed")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashes(F.col("text")), "text").filter("doc_id is not null and text is not null")
-    texts = written(rows.join(few(needed), ["doc_id", "d1", "d2"]).select("node", "text"), "texts")
+    texts = written(rows.join(few(needed), ["doc_id", "d1", "d2"]).select("node", "text").coalesce(tasks), "texts")
 
     def run(batch: pa.RecordBatch) -> dict:
         out, kept_of, kept = [], None, None
@@ -250,7 +250,7 @@ def verified(pairs: DataFrame, meta: DataFrame, docs: DataFrame) -> DataFrame:
         return {"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())}
 
     joined = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b").select("a", "b", "left", "right")
-    out = written(mapped(joined, run, "a long, b long", rows=64).distinct(), "links")
+    out = written(mapped(joined, run, "a long, b long", rows=64).distinct().coalesce(tasks), "links")
     drop_written(needed, texts)
     return out
 
@@ -271,46 +271,44 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, node, class_id, class_node, d1, d2) for each row of docs with an id and a text: a node is a different text, a
     class is named by its smallest id, and the smallest node of that. d1 and d2 are the hashes of the text."""
     sketches, first = _nodes(written(sketch_table(docs), "sketches"))
-    meta = written(sketches.filter("n > 0").join(first, ["node", "doc_id"], "left_semi"), "sketched")
+    tasks = max(8, first.count() // TASK_TEXTS)
+    held = lambda df, name: written(df.coalesce(tasks), name)
+    meta = held(sketches.filter("n > 0").join(first, ["node", "doc_id"], "left_semi"), "sketched")
     bag = F.struct("n", "odd")
     buckets = meta.select("node", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("key", "b")
-    shared = written(buckets.join(shared, "key"), "buckets")  # of two texts at least
+    shared = held(buckets.join(shared, "key"), "buckets")  # of two texts at least
     bags = meta.select("node", bag.alias("bag")).distinct()
 
     def links(pairs: DataFrame) -> DataFrame:
-        return verified(written(pairs.distinct(), "pairs"), meta, docs)
+        return verified(held(pairs.distinct(), "pairs"), meta, docs, tasks)
 
     pairs = shared.filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     pairs = pairs.join(bags.toDF("a", "x"), "a").join(bags.toDF("b", "y"), "b").filter(_near_bags(F.col("x"), F.col("y"))).select("a", "b")
-    edges, leaders, stars = links(pairs), 0, STARS
+    edges, leaders = links(pairs), 0
     while True:
-        found = written(components(edges), "components")
+        found = held(components(edges, tasks=tasks), "components")
         label = bags.join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "bag")
         open_rows = shared.select("key", "node").join(label, "node")
         mixed = open_rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size")).filter("least < most")
-        rest = written(open_rows.join(mixed.filter(F.col("size") > leaders).select("key", "least", "size"), "key"), "open")
+        rest = open_rows.join(mixed.filter(F.col("size") > leaders).select("key", "size"), "key")
+        rest = held(rest.join(meta.select("node", "keys").distinct(), "node"), "open")
         if rest.isEmpty():
             drop_written(rest)
             break
-        if stars:
-            # one text of the bucket's least component, each time another, meets those of all others
-            head = rest.filter("component = least").groupBy("key").agg(F.min_by(F.struct("node", "bag"), F.xxhash64("node", F.lit(stars))).alias("head"))
-            met = rest.filter("component <> least").join(head, "key").filter(_near_bags(F.col("bag"), F.col("head.bag")))
-        else:
-            # in a bucket of up to `leaders` texts all of them lead, else one of each hash class; a large bucket's texts are dealt
-            # to several tasks, each of which has the leaders
-            leaders = max(64, leaders * 64)
-            heads = rest.withColumn("class", F.when(F.col("size") <= leaders, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))))
-            heads = heads.groupBy("key", "class", "size").agg(F.min_by(F.struct("node", "component", "bag"), "node").alias("head"))
-            tasks = F.ceil(F.col("size") / DEAL).cast("int")
-            heads = heads.select("key", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), "head")
-            dealt = rest.withColumn("task", F.pmod("node", tasks).cast("int"))
-            close = (F.col("component") != F.col("head.component")) & _near_bags(F.col("bag"), F.col("head.bag"))
-            met = dealt.join(heads, (dealt["key"] == heads["key"]) & (dealt["task"] == heads["task"]) & close)
+        # in a bucket of up to `leaders` texts all of them lead, else one of each hash class; a large bucket's texts are dealt
+        # to several tasks, each of which has the leaders
+        leaders = max(64, leaders * 64)
+        heads = rest.withColumn("class", F.when(F.col("size") <= leaders, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))))
+        heads = heads.groupBy("key", "class", "size").agg(F.min_by(F.struct("node", "component", "bag", "keys"), "node").alias("head"))
+        turns = F.ceil(F.col("size") / DEAL).cast("int")
+        heads = heads.select("key", F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), "head")
+        dealt = rest.withColumn("turn", F.pmod("node", turns).cast("int"))
+        close = (F.col("component") != F.col("head.component")) & _near_bags(F.col("bag"), F.col("head.bag"))
+        # a pair is met in the first of the buckets that it shares
+        close &= F.array_min(F.array_intersect("keys", "head.keys")) == dealt["key"]
+        met = dealt.join(heads, (dealt["key"] == heads["key"]) & (dealt["turn"] == heads["turn"]) & close)
         more = links(met.select(F.greatest("node", "head.node").alias("a"), F.least("node", "head.node").alias("b")))
-        if stars:
-            stars = 0 if more.isEmpty() else stars - 1
         drop_written(rest)
         edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     linked = found.select(F.col("id").alias("node"), "component").join(first, "node")
