@@ -14,12 +14,12 @@ changed word of a short text leaves few shingles, texts under SHORT words are sk
 those of up to TINY words, where one edit is the most that the threshold lets pass, meet by all their words but one, which
 misses nothing.
 
-Exact copies (equal word sequences) are collapsed by a digest first. In each bucket of equal sketches every text is
-then compared with one text of the bucket; buckets that still hold several components are compared with 64
-of their texts, then 4096, and so on until all their pairs of different components have been met. A group of copies
-thus costs rows in proportion to its size. Before two texts are aligned, the parities of their words' counts by hash are
-compared: an edit changes two of them at most, so that this loses nothing. Null texts, texts without words and rows
-without an id are in no group; rows that share an id but not their words are judged apart.
+Exact copies are collapsed by two hashes first. In each bucket of equal sketches every text is then compared with one text
+of the bucket, which joins groups of copies in proportion to their size. In the buckets that still hold several components
+all pairs of texts of different components are met, in pairs of blocks of bounded size. Before two texts are aligned, the
+parities of their words' counts by hash are compared: an edit changes two of them at most, so that this loses nothing.
+Null texts, texts without words and rows without an id are in no group; rows that share an id but not their text are
+judged apart.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import Store, drop_written, few, mapped, only, written
+from hearken.llm.common import Store, by_slices, drop_written, few, mapped, only, written
 from hearken.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -39,8 +39,8 @@ TABLES, PICKS = 24, 2
 #: Texts of fewer words are sketched by pairs of words; those of LONG words or more by shingles. Both, where a pair's texts
 #: may stand on either side.
 SHORT, LONG, TINY = 32, 26, 9
-#: Rows of a bucket that one task meets with its leaders.
-DEAL = 1024
+#: Texts of a bucket, and words of them, that are met with as many others at once.
+BLOCK_TEXTS, BLOCK_WORDS = 4096, 1 << 20
 #: Different texts that a task of what follows the sketches has at least.
 TASK_TEXTS = 4000
 
@@ -233,12 +233,16 @@ def _near_bags(left: Column, right: Column) -> Column:
     return F.when(F.abs(n - m) <= most, differ + F.abs(n - m) <= 2 * most).otherwise(F.lit(False))
 
 
+def _texts(nodes: DataFrame, meta: DataFrame, docs: DataFrame, tasks: int) -> DataFrame:
+    """(node, text) of the nodes."""
+    needed = written(meta.select("node", "doc_id", "d1", "d2").join(nodes.distinct(), "node", "left_semi").distinct().coalesce(tasks), "needed")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashes(F.col("text")), "text").filter("doc_id is not null and text is not null")
+    return written(rows.join(few(needed), ["doc_id", "d1", "d2"]).select("node", "text").coalesce(tasks), "texts")
+
+
 def verified(pairs: DataFrame, meta: DataFrame, docs: DataFrame, tasks: int) -> DataFrame:
     """The pairs (a, b) of nodes whose texts reach the threshold."""
-    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = written(meta.select("node", "doc_id", "d1", "d2").join(ids, "node", "left_semi").distinct().coalesce(tasks), "needed")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashes(F.col("text")), "text").filter("doc_id is not null and text is not null")
-    texts = written(rows.join(few(needed), ["doc_id", "d1", "d2"]).select("node", "text").coalesce(tasks), "texts")
+    texts = _texts(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), meta, docs, tasks)
 
     def run(batch: pa.RecordBatch) -> dict:
         out, kept_of, kept = [], None, None
@@ -251,10 +255,89 @@ def verified(pairs: DataFrame, meta: DataFrame, docs: DataFrame, tasks: int) ->
 
     joined = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b").select("a", "b", "left", "right")
     out = written(mapped(joined, run, "a long, b long", rows=64).distinct().coalesce(tasks), "links")
-    drop_written(needed, texts)
+    drop_written(texts)
     return out
 
 
+class Bucket:
+    """Texts of a bucket, or of two blocks of it: (node, component, n, odd, keys, text, side)."""
+
+    def __init__(self, key: int, apart: bool):
+        self.key, self.apart, self.rows, self.words = key, apart, [], {}
+
+    def add(self, node: int, component: int, n: int, odd: list[int], keys: list[int], text: str, side: int) -> None:
+        words = self.words
+        self.rows.append((n, node, component, np.array(odd, np.int64), frozenset(keys), [words.setdefault(w, w) for w in text.split()], side))
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links of a spanning forest of the components. Of two blocks, those between them only. Pairs that share a smaller
+        key are left to its bucket."""
+        rows = sorted(self.rows, key=lambda r: r[:2])
+        parent: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while (p := parent.get(i, i)) != i:
+                parent[i] = parent.get(p, p)
+                i = p
+            return i
+
+        n = np.array([r[0] for r in rows])
+        most = np.array([edits_allowed(r[0], r[0]) for r in rows])
+        component, side = np.array([r[2] for r in rows]), np.array([r[6] for r in rows])
+        bits = np.array([len(r[3]) for r in rows])
+        same = {size: (at := np.flatnonzero(bits == size), np.stack([rows[i][3] for i in at.tolist()])) for size in np.unique(bits).tolist()}
+        half = {size // 2: (at, x[:, : size // 2] ^ x[:, size // 2 :]) for size, (at, x) in same.items() if size > 1}
+        out = []
+        for x, (own, node, own_component, odd, keys, words, own_side) in enumerate(rows):
+            for at, table in (t[len(odd)] for t in (same, half) if len(odd) in t):
+                # longer texts, or as long ones that come later
+                begin, end = np.searchsorted(at, x + 1), np.searchsorted(n[at] - most[at], own, "right")
+                if begin >= end:
+                    continue
+                y = at[begin:end]
+                open_ = component[y] != own_component
+                if self.apart:
+                    open_ &= side[y] != own_side
+                y, rest = y[open_], table[begin:end][open_]
+                y = y[np.bitwise_count(rest ^ odd).sum(axis=1, dtype=np.int64) + n[y] - own <= 2 * most[y]]
+                for k in y.tolist():
+                    _, other, other_component, _, other_keys, other_words, _ = rows[k]
+                    a, b = find(own_component), find(other_component)
+                    if a != b and min(keys & other_keys) == self.key and near(words, other_words):
+                        parent[max(a, b)] = min(a, b)
+                        out.append((max(node, other), min(node, other)))
+        return out
+
+
+def met_in_blocks(rows: DataFrame) -> DataFrame:
+    """The links (a, b) between the components of each bucket; rows: (key, node, component, n, odd, keys, text)."""
+    per = rows.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    dealt = rows.join(per, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "n", "odd", "keys", "text", (F.col("block") > F.col("other")).cast("int").alias("side"))
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        unit, bucket = None, None
+
+        def closed() -> pa.RecordBatch:
+            found = bucket.links()
+            return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+        for batch in batches:
+            for part in by_slices(batch):
+                for key, i, j, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if (key, i, j) != unit:
+                        if bucket:
+                            yield closed()
+                        unit, bucket = (key, i, j), Bucket(key, i != j)
+                    bucket.add(*row)
+        if bucket:
+            yield closed()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _nodes(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sketches with a number for each different text, the texts' numbers with their smallest id). The number is the first hash;
     where different texts share it, it is another hash for all of them but one."""
@@ -280,37 +363,19 @@ def near_classes(docs: DataFrame) -> DataFrame:
     shared = held(buckets.join(shared, "key"), "buckets")  # of two texts at least
     bags = meta.select("node", bag.alias("bag")).distinct()
 
-    def links(pairs: DataFrame) -> DataFrame:
-        return verified(held(pairs.distinct(), "pairs"), meta, docs, tasks)
-
     pairs = shared.filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     pairs = pairs.join(bags.toDF("a", "x"), "a").join(bags.toDF("b", "y"), "b").filter(_near_bags(F.col("x"), F.col("y"))).select("a", "b")
-    edges, leaders = links(pairs), 0
-    while True:
-        found = held(components(edges, tasks=tasks), "components")
-        label = bags.join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "bag")
-        open_rows = shared.select("key", "node").join(label, "node")
-        mixed = open_rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size")).filter("least < most")
-        rest = open_rows.join(mixed.filter(F.col("size") > leaders).select("key", "size"), "key")
-        rest = held(rest.join(meta.select("node", "keys").distinct(), "node"), "open")
-        if rest.isEmpty():
-            drop_written(rest)
-            break
-        # in a bucket of up to `leaders` texts all of them lead, else one of each hash class; a large bucket's texts are dealt
-        # to several tasks, each of which has the leaders
-        leaders = max(64, leaders * 64)
-        heads = rest.withColumn("class", F.when(F.col("size") <= leaders, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))))
-        heads = heads.groupBy("key", "class", "size").agg(F.min_by(F.struct("node", "component", "bag", "keys"), "node").alias("head"))
-        turns = F.ceil(F.col("size") / DEAL).cast("int")
-        heads = heads.select("key", F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), "head")
-        dealt = rest.withColumn("turn", F.pmod("node", turns).cast("int"))
-        close = (F.col("component") != F.col("head.component")) & _near_bags(F.col("bag"), F.col("head.bag"))
-        # a pair is met in the first of the buckets that it shares
-        close &= F.array_min(F.array_intersect("keys", "head.keys")) == dealt["key"]
-        met = dealt.join(heads, (dealt["key"] == heads["key"]) & (dealt["turn"] == heads["turn"]) & close)
-        more = links(met.select(F.greatest("node", "head.node").alias("a"), F.least("node", "head.node").alias("b")))
-        drop_written(rest)
-        edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
+    found = held(components(verified(held(pairs, "pairs"), meta, docs, tasks), tasks=tasks), "components")
+
+    label = meta.select("node", "n", "odd", "keys").distinct().join(found.withColumnRenamed("id", "node"), "node", "left")
+    label = label.withColumn("component", F.coalesce("component", "node"))
+    open_rows = shared.select("key", "node").join(label.select("node", "component"), "node")
+    mixed = open_rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
+    rest = held(open_rows.join(mixed, "key").select("key", "node").distinct(), "open")
+    texts = _texts(rest.select("node"), meta, docs, tasks)
+    more = held(met_in_blocks(rest.join(label.join(texts, "node"), "node")), "links")
+    found = held(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), tasks=tasks), "components")
+    drop_written(rest, texts)
     linked = found.select(F.col("id").alias("node"), "component").join(first, "node")
     named = linked.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("least"))
     named = linked.join(named, "component").select("node", "least")
