@@ -23,12 +23,14 @@ from hearken.llm.common import by_slices, id_bucket, id_splits, literal_array
 PRIMES = (2147483629, 2147483587)
 BASES = (1103515245, 69069069)
 SPAN, KEEP = 16, 64
+#: Powers that a worker keeps, 32 bytes each.
+KEPT_POWERS = 1 << 20
 
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each prime, B ** j and B ** -j for j up to n at least; kept and doubled."""
+    """For each prime, B ** j and B ** -j for j up to n at least; kept and doubled, but for very long texts."""
     if not _powers or len(_powers[0][0]) <= n:
         size = 1 << max(12, n.bit_length())
         made = []
@@ -40,6 +42,8 @@ def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
                     out = np.concatenate([out, out * np.uint64(pow(base, len(out), p)) % np.uint64(p)])
                 two.append(out)
             made.append(tuple(two))
+        if size > KEPT_POWERS:
+            return made
         _powers[:] = made
     return _powers
 

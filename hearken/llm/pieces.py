@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import by_slices
+from hearken.llm.common import Store, by_slices, only
 
 BLANK = "▁"
 #: What a byte costs more than the worst piece, as the format has it for unknown characters.
@@ -37,8 +39,6 @@ def default_model() -> str:
 class PieceCoder:
     """Encoder and decoder for one model file."""
 
-    MOST = 400_000
-
     def __init__(self, model_file: str):
         import sentencepiece
 
@@ -57,82 +57,125 @@ class PieceCoder:
             self.automaton.add_word(p, (len(p), i, sp.get_score(i)))
         self.automaton.make_automaton()
         self.text_of = [bytes((self.byte_of[i],)) if i in self.byte_of else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
-        self.store: dict[str, bytes] = {}
+        self.store = Store("pieces")
 
-    def viterbi(self, part: str) -> tuple[int, ...]:
+    def viterbi(self, part: str) -> array:
         """Best segmentation of a part in which blanks are U+2581 already."""
         n = len(part)
         low = -1e300
-        best = [low] * (n + 1)
+        best = array("d", [low]) * (n + 1)
         best[0] = 0.0
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        # where the best last piece of a position starts, and its number; -1 for the bytes of one character
+        begins, last = array("q", range(-1, n)), array("i", [-1]) * (n + 1)
         at = 0
         for end, (size, piece, score) in self.automaton.iter(part):
             end += 1
             while at < end:  # positions that no piece ends at can still be reached by bytes
                 if at and best[at - 1] + self.byte_score > best[at]:
-                    best[at] = best[at - 1] + self.byte_score
-                    back[at] = (at - 1, -1)
+                    best[at], begins[at], last[at] = best[at - 1] + self.byte_score, at - 1, -1
                 at += 1
             start = end - size
             if best[start] + score > best[end]:
-                best[end] = best[start] + score
-                back[end] = (start, piece)
+                best[end], begins[end], last[end] = best[start] + score, start, piece
         while at <= n:
             if at and best[at - 1] + self.byte_score > best[at]:
-                best[at] = best[at - 1] + self.byte_score
-                back[at] = (at - 1, -1)
+                best[at], begins[at], last[at] = best[at - 1] + self.byte_score, at - 1, -1
             at += 1
-        out: list[int] = []
+        out = array("i")
         end = n
         while end:
-            start, piece = back[end]
+            start, piece = begins[end], last[end]
             if piece >= 0:
                 out.append(piece)
             else:
                 raw = part[start:end].replace(BLANK, " ")
-                out += [self.bytes_at[b] for b in reversed(raw.encode("utf-8", "surrogatepass"))]
+                out.extend(self.bytes_at[b] for b in reversed(raw.encode("utf-8", "surrogatepass")))
             end = start
-        return tuple(reversed(out))
+        out.reverse()
+        return out
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
+        return b"".join(self.encode_in_steps(text))
+
+    def encode_in_steps(self, text: str) -> Iterator[bytes]:
+        """The ids of a text, stretch by stretch."""
         if not text:
-            return b""
-        if BLANK in text or not self.by_blank:
-            return self._encode_odd(text)
-        if "  " in text or text[0] == " ":
-            parts = _PARTS.findall(" " + text)
-        else:
-            parts = text.split(" ")  # each stands for itself with one blank before it
-        got = list(map(self.store.get, parts))
-        if None in got:
-            got = [self._new(p) if x is None else x for p, x in zip(parts, got, strict=True)]
-        return b"".join(got)
+            return
+        if not self.by_blank:
+            yield _ids(self._with_marks(" " + text, self.viterbi))
+            return
+        for stretch in stretches(text):
+            if BLANK in stretch:
+                yield _ids(self._with_marks(stretch, self._by_parts))
+                continue
+            # each part stands for itself with one blank before it
+            parts = _PARTS.findall(stretch) if "  " in stretch else stretch[1:].split(" ")
+            got = list(map(self.store.get, parts))
+            if None in got:
+                got = [self._new(p) if x is None else x for p, x in zip(parts, got, strict=True)]
+            yield b"".join(got)
 
     def _new(self, part: str) -> bytes:
+        """The ids of a part: a word, which one blank stands before, or blanks and a word."""
         if (ids := self.store.get(part)) is None:
             blank = part if part[:1] == " " else " " + part
-            ids = np.array(self.viterbi(blank.replace(" ", BLANK)), "<i4").tobytes()
-            if len(self.store) < self.MOST and len(part) < 64:
-                self.store[part] = ids
+            ids = _ids(self.viterbi(blank.replace(" ", BLANK)))
+            if len(part) < 64:
+                self.store.keep(part, ids, 60 + 2 * len(part) + len(ids))
         return ids
 
-    def _encode_odd(self, text: str) -> bytes:
+    def _by_parts(self, stretch: str) -> list[int]:
+        """A stretch in which blanks are U+2581; only its first part may have none before it."""
+        parts = _PARTS.findall(stretch.replace(BLANK, " "))
+        raw = b"".join(_ids(self.viterbi(p)) if p[0] != " " else self._new(p[1:] if p[1:2] not in ("", " ") else p) for p in parts)
+        return np.frombuffer(raw, "<i4").tolist()
+
+    def _with_marks(self, text: str, encode: Callable[[str], list[int] | array]) -> list[int]:
         """A text with U+2581 in it: that character itself goes to bytes, the stretches between are encoded apart."""
         out: list[int] = []
         raw = [self.bytes_at[b] for b in BLANK.encode()]
-        for i, stretch in enumerate((" " + text).split(BLANK)):
+        for i, stretch in enumerate(text.split(BLANK)):
             if i:
                 out += raw
             if stretch:
-                out += self.viterbi(stretch.replace(" ", BLANK))
-        return np.array(out, "<i4").tobytes()
+                out += encode(stretch.replace(" ", BLANK))
+        return out
+
+    def gives_back(self, ids: np.ndarray, text: str, step: int = 1 << 16) -> bool:
+        """Whether decoding gives the very text, compared in steps of so many ids."""
+        raw = (" " + text).encode("utf-8", "surrogatepass") if text else b""
+        at = 0
+        for i in range(0, len(ids), step):
+            part = b"".join(map(self.text_of.__getitem__, ids[i : i + step].tolist()))
+            if raw[at : at + len(part)] != part:
+                return False
+            at += len(part)
+        return at == len(raw)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
+def stretches(text: str, size: int = 1 << 18) -> Iterator[str]:
+    """A text with a blank before it, cut before the first blank of a run of them about every size characters, so that
+    each stretch begins with a blank."""
+    at, cut = 0, -1
+    while True:
+        cut = text.find(" ", max(at + size, cut + 1))
+        while cut >= 0 and (cut + 1 == len(text) or text[cut - 1] == " "):
+            cut = text.find(" ", cut + 1)
+        whole = text[at:cut] if cut >= 0 else text[at:]
+        yield whole if at else " " + whole
+        if cut < 0:
+            return
+        at = cut
+
+
+def _ids(ids: list[int] | array) -> bytes:
+    return np.array(ids, "<i4").tobytes()
+
+
 _opened: dict[str, PieceCoder] = {}
 
 
@@ -153,21 +196,23 @@ def encode_documents(docs: DataFrame, *, model_file: str | None = None) -> DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        only("pieces")
         coder = opened(model_file)
         for batch in batches:
-            for part in by_slices(batch):
-                rows = []
-                for text in part.column(1).to_pylist():
-                    ids = np.frombuffer(coder.encode(text or ""), "<i4")
-                    rows.append((ids, coder.decode(ids.tolist()) == (text or "")))
-                ends = np.cumsum([0, *(len(x[0]) for x in rows)]).astype(np.int32)
-                flat = np.concatenate([x[0] for x in rows]) if rows else np.zeros(0, "<i4")
+            for part in by_slices(batch, size=1 << 20):
+                texts = part.column(1).to_pylist()
+                raws, back = [], []
+                for text in texts:
+                    raw = coder.encode(text or "")
+                    raws.append(raw)
+                    back.append(coder.gives_back(np.frombuffer(raw, "<i4"), text or ""))
+                ends = np.cumsum([0, *(len(x) // 4 for x in raws)]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column(0),
                     "n_pieces": pa.array(np.diff(ends).astype(np.int64)),
-                    "ids_crc32": pa.array([zlib.crc32(x[0].tobytes()) for x in rows], pa.int64()),
-                    "round_trip": pa.array([x[1] for x in rows], pa.bool_()),
-                    "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))),
+                    "ids_crc32": pa.array([zlib.crc32(x) for x in raws], pa.int64()),
+                    "round_trip": pa.array(back, pa.bool_()),
+                    "ids": pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raws))])),
                 })
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, round_trip boolean, ids array<int>")

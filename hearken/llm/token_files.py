@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import by_slices, id_bucket, id_splits, written
+from hearken.llm.common import Store, by_slices, id_bucket, id_splits, only, written
 
 BLOCK, SEGMENT, PERCENTILE, END_ID = 512, 1 << 16, 98.0, 2
 _HEAD = struct.Struct("<IHBBHH")
@@ -143,7 +143,7 @@ class Tokens:
     ids of a text are those of the chunks between such blanks. Texts with a blank after white space go whole.
     """
 
-    MOST, JOINED = 1_000_000, 256
+    JOINED = 256
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
@@ -152,8 +152,8 @@ class Tokens:
         places = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(places.values(), default=0) + 1, bool)  # by id, whether its first byte is a blank
         self.begins[[i for x, i in places.items() if x.startswith(_BLANK)]] = True
-        self.store: dict[str, bytes] = {}  # by chunk without its blank
-        self.bare: dict[str, bytes] = {}  # by text that no blank stands before
+        self.store = Store("token_files", 96 << 20)  # by chunk without its blank
+        self.bare = Store("token_files", 16 << 20)  # by text that no blank stands before
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [_little(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -199,10 +199,8 @@ class Tokens:
         found = [dict(zip(xs, f(list(xs)), strict=True)) for xs, f in zip(asked, (self._ask_chunks, self._ask), strict=True)]
         out = {c: b"".join([found[bare][x] if x in found[bare] else stores[bare][x] for bare, x in cut[c]]) if c in cut else found[0][c] for c in chunks}
         for kept, ids in zip(stores, found, strict=True):
-            if len(kept) < self.MOST:
-                kept.update(ids)
-        if len(self.store) < self.MOST // 2:
-            self.store.update(out)
+            kept.keep_all(ids)
+        self.store.keep_all({c: out[c] for c in cut})
         return out
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
@@ -275,6 +273,7 @@ def write_token_files(docs: DataFrame, *, tokenizer_file: str | None = None, end
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        only("token_files")
         tokens = opened(tokenizer_file)
         part, segment, start = None, 0, 0
         held: list[tuple] = []

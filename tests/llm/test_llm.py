@@ -403,6 +403,46 @@ def test_pieces_best_score(coder, text):
     assert score == pytest.approx(best[-1])
 
 
+@given(st.text(alphabet="ab ▁", max_size=40), st.integers(1, 9))
+@settings(max_examples=200, deadline=None)
+def test_pieces_by_stretches(coder, text, size):
+    """Stretches add up to the text, begin with a blank, and have the ids of the whole."""
+    found = list(pieces.stretches(text, size))
+    assert "".join(found) == " " + text and all(x[0] == " " for x in found)
+    whole = coder.encode(text)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pieces, "stretches", lambda t: iter(found))
+        assert coder.encode(text) == whole
+    assert coder.gives_back(np.frombuffer(whole, "<i4"), text, 3) and not coder.gives_back(np.frombuffer(whole, "<i4"), text + "x", 3)
+
+
+def peak_mb(code):
+    """Peak memory of a Python process that runs the code."""
+    import subprocess
+    import sys
+
+    tail = "import resource; print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    return int(subprocess.run([sys.executable, "-c", f"{code}\n{tail}"], capture_output=True, text=True, check=True).stdout.split()[-1])
+
+
+def test_pieces_memory():
+    """One long unbroken text, and many long texts of words that never come again."""
+    head = "import random\nfrom hearken.llm import pieces, common\nimport pyarrow as pa\ncoder, r = pieces.opened(pieces.default_model()), random.Random(1)\n"
+    assert peak_mb(head + "x = ''.join(r.choices('abcdefghijklmnop', k=1_000_000)); assert coder.decode(__import__('numpy').frombuffer(coder.encode(x), '<i4').tolist()) == x") < 400
+    assert peak_mb(head + "for _ in range(64):\n    x = ' '.join('%x' % r.getrandbits(70) for _ in range(20_000)); assert coder.gives_back(__import__('numpy').frombuffer(coder.encode(x), '<i4'), x)") < 400
+
+
+def test_slices_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from hearken.llm.common import by_slices
+
+    texts = ["x" * n for n in (5, 0, 90, 1, 200, 3, 3, 3, 3)] + [None]
+    got = [p.column(0).to_pylist() for p in by_slices(pa.RecordBatch.from_pydict({"text": pa.array(texts)}), 3, 100)]
+    assert [x for g in got for x in g] == texts
+    assert [len(g) for g in got] == [3, 1, 1, 3, 2]
+
+
 def test_pieces_odd(odd):
     out = pieces.encode_documents(odd).collect()
     assert len(out) == 10 and all(r["round_trip"] for r in out)
@@ -474,6 +514,33 @@ def test_dual_traversal(dims):
     assert (got.weight == np.concatenate([g.sum(1), g.sum(0)])).all()
 
 
+def test_traversal_memory():
+    """2048 vectors of which every pair is near the threshold."""
+    assert peak_mb("""
+import numpy as np
+from hearken.llm import embedding_dup as e
+r = np.random.default_rng(1); c = r.normal(size=64); c /= np.linalg.norm(c)
+x = e.unit(c + np.sqrt((1 / 0.92 - 1) / 64) * r.normal(size=(2048, 64))); one = np.ones(2048)
+t = e.CoverTree(x); got = e.dual_traversal(t, t, (one, one)); assert (got.weight == (x @ x.T >= 0.9).sum(1) - 1).all()
+""") < 300
+
+
+def test_cells_nest_and_pairs_are_pruned(spark, monkeypatch):
+    """Clusters far apart: blocks of different clusters are not met; all links are found."""
+    monkeypatch.setattr(embedding_dup, "BLOCK", 60)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + 0.02 * rng.normal(size=(150, 16)) for c in np.eye(16)[:10] * 3.0])
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    made = []
+    block_pairs = embedding_dup._block_pairs
+    monkeypatch.setattr(embedding_dup, "_block_pairs", lambda *a: made.append(block_pairs(*a)) or made[0])
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dup.linked_vectors(table).collect()}
+    links, _ = brute_links(x)
+    assert [got[i] for i in range(len(x))] == links.tolist()
+    blocks = made[0].select("i").union(made[0].select("j")).distinct().count()
+    assert blocks >= 25 and made[0].count() < blocks * blocks / 4
+
+
 def test_embedding_links(spark, monkeypatch):
     monkeypatch.setattr(embedding_dup, "BLOCK", 100)
     vectors = spark.read.parquet(f"{MID}/embeddings.parquet")
