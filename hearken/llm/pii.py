@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.spans import digits_of, find_spans, joined, luhn, mod97
+from hearken.llm.spans import cut, digits_of, find_spans, joined, let, luhn, mod97, pieces
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
-BEFORE, LEAST = 48, 0.5
+#: Code points before and after a span in which context words count.
+BEFORE, AFTER, LEAST = 48, 24, 0.5
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
@@ -23,7 +24,7 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Score without context, words that raise it, words that lower it; they stand before the span.
+#: Score without context, words that raise it, words that lower it; they stand near the span.
 CONTEXT = {
     "email": (0.9, r"(?i)\b(?:e-?mail|mail|contact|write|reach)\b", r"(?i)\b(?:example|noreply)\b"),
     "ip": (0.6, r"(?i)\b(?:ip|address|host|server|login|from)\b", r"(?i)\b(?:version|release|section|v)\b"),
@@ -55,17 +56,22 @@ def find_personal(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_iban", F.filter("_iban", lambda x: mod97(x["m"])))
     out = out.withColumn("_ssn", find_spans(text, SSN, None, text.rlike("[0-9]-[0-9]")))
 
-    def tagged(i: int, kind: str) -> Column:
+    def tagged(i: int, kind: str, of_text: Column) -> Column:
         score, more, less = CONTEXT[kind]
 
         def one(x: Column) -> Column:
-            near = F.substring(text, F.greatest(x["s"] - BEFORE, F.lit(0)) + 1, F.least(x["s"], F.lit(BEFORE)))
-            value = F.lit(score) + F.when(near.rlike(more), 0.3).otherwise(0.0) - F.when(near.rlike(less), 0.3).otherwise(0.0)
-            return F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)), 2).alias("score"))
+            def scored(near: Column) -> Column:
+                value = F.lit(score) + F.when(near.rlike(more), 0.3).otherwise(0.0) - F.when(near.rlike(less), 0.3).otherwise(0.0)
+                return F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)), 2).alias("score"))
+
+            near = F.concat(cut(of_text, F.greatest(x["s"] - BEFORE, F.lit(0)), x["s"]), F.lit(" | "), cut(of_text, x["e"], x["e"] + AFTER))
+            return let(near, scored)
 
         return F.transform(F.col(f"_{kind}"), one)
 
-    every = F.array_sort(F.concat(*[tagged(i, k) for i, k in enumerate(KINDS)]))
+    some = sum((F.size(f"_{k}") for k in KINDS[1:]), F.size("_email")) > 0
+    every = let(pieces(text), lambda p: F.array_sort(F.concat(*[tagged(i, k, p) for i, k in enumerate(KINDS)])))
+    every = F.when(some, every).otherwise(F.array().cast("array<struct<k:int,s:int,e:int,kind:string,score:double>>"))
     kept = F.filter(every, lambda x: (x["k"] < 4) | (x["score"] >= LEAST))
     return out.withColumn("found", kept).select(*[c for c in docs.columns if c != "found"], "found")
 
