@@ -21,7 +21,9 @@ from hearken.llm.common import written
 
 WEIGHTS, CAP = (5, 2, 1), 3
 BLOCK_WORDS, MOST_BLOCKS = 16384, 65536
-SHARD_WORDS, MOST_SHARDS, MOST_SOURCES = 50_000, 4096, 100_000
+SHARD_WORDS, MOST_SHARDS, MOST_SOURCES = 50_000, 65536, 100_000
+#: Largest population that numpy draws from.
+NUMPY_MOST = 10**9
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -45,6 +47,23 @@ def targets(sizes: list[int], weights: tuple = WEIGHTS, cap: int = CAP) -> list[
     return out
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many of `drawn` things without replacement are of the `good` ones. Beyond numpy's largest population the number is
+    found in the table of probabilities around the most likely one, each from its neighbour, to where they are under 1e-30 of it."""
+    if good + bad < NUMPY_MOST:
+        return int(rng.hypergeometric(good, bad, drawn))
+    low, high = max(0, drawn - bad), min(good, drawn)
+    mode = min(high, max(low, (good + 1) * (drawn + 1) // (good + bad + 2)))
+    share = drawn / (good + bad)
+    wide = 20 + int(12 * (good * share * (1 - share)) ** 0.5)
+    up = np.arange(mode, min(high, mode + wide), dtype=float)
+    down = np.arange(mode, max(low, mode - wide), -1, dtype=float)
+    above = np.cumprod((good - up) * (drawn - up) / ((up + 1) * (bad - drawn + up + 1)))
+    below = np.cumprod(down * (bad - drawn + down) / ((good - down + 1) * (drawn - down + 1)))
+    sums = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return mode - len(below) + int(np.searchsorted(sums, rng.random() * sums[-1], "right"))
+
+
 def splitting_tree(quotas: list[int], shards: int, seed: int = 7) -> np.ndarray:
     """(sources, shards) exact numbers of draws; rows add up to the quotas, and shards get equally many within one."""
     out = np.zeros((len(quotas), shards), np.int64)
@@ -62,7 +81,7 @@ def splitting_tree(quotas: list[int], shards: int, seed: int = 7) -> np.ndarray:
         for k, n in enumerate(here.tolist()):
             rest -= n
             if n and want:
-                take = int(rng.hypergeometric(n, rest, want)) if n + rest < 10**9 else min(n, want, max(want - rest, round(want * n / (n + rest))))
+                take = hypergeometric(rng, n, rest, want)
                 first[k] = take
                 want -= take
         todo += [(a, mid, first), (mid, b, here - first)]

@@ -659,6 +659,22 @@ def test_splitting_tree(quotas, shards):
     assert out.sum(0).max() - out.sum(0).min() <= max(1, int(np.ceil(np.log2(shards))) if shards > 1 else 1)
 
 
+@pytest.mark.parametrize("good, bad, drawn", [(30, 50, 20), (5, 3, 6), (40, 2, 41), (300, 200, 250), (1, 90, 45)])
+def test_hypergeometric_beyond_numpy(monkeypatch, good, bad, drawn):
+    """The draw for large populations, on small ones, where the probabilities are known."""
+    from math import comb
+
+    monkeypatch.setattr(mixing, "NUMPY_MOST", 0)
+    rng = np.random.default_rng(3)
+    got = Counter(mixing.hypergeometric(rng, good, bad, drawn) for _ in range(20_000))
+    for k in range(max(0, drawn - bad), min(good, drawn) + 1):
+        p = comb(good, k) * comb(bad, drawn - k) / comb(good + bad, drawn)
+        assert abs(got.pop(k, 0) - 20_000 * p) < 6 * (20_000 * p) ** 0.5 + 6
+    assert not got
+    large = [mixing.hypergeometric(rng, 60_000, 4 * 10**10, 2 * 10**10) for _ in range(300)]
+    assert abs(np.mean(large) - 30_000 + 0.045) < 40 and 80 < np.std(large) < 170
+
+
 @given(st.lists(st.integers(1, 60), max_size=12), st.integers(0, 300))
 @settings(max_examples=200, deadline=None)
 def test_nearest_subset(sizes, goal):
