@@ -90,32 +90,26 @@ def few(table: DataFrame) -> DataFrame:
 
 
 class Store(dict):
-    """What a Python worker keeps for its next tasks, about `limit` bytes at most: a full store starts again."""
+    """What a Python worker keeps for its next tasks: what comes first, about `limit` bytes at most."""
 
     _all: list[Store] = []
 
-    def __init__(self, owner: str, limit: int = 32 << 20):
+    def __init__(self, owner: str, limit: int = 48 << 20):
         super().__init__()
         self.owner, self.limit, self.size = owner, limit, 0
         Store._all.append(self)
 
     def keep(self, key, value, size: int) -> None:
         """size: bytes of key and value, without what any entry takes."""
-        self.size += size + 200
-        if self.size > self.limit:
-            self.clear()
-            self.size = size + 200
-        self[key] = value
+        if self.size < self.limit:
+            self.size += size + 200
+            self[key] = value
 
     def keep_all(self, found: dict[str, bytes]) -> None:
-        """Texts and bytes, all of them or what is within the limit."""
-        size = sum(map(len, found)) + sum(map(len, found.values())) + 280 * len(found)
-        if self.size + size > self.limit:
-            self.clear()
-            self.size = 0
-        if size <= self.limit:
+        """Texts and bytes."""
+        if self.size < self.limit:
+            self.size += sum(map(len, found)) + sum(map(len, found.values())) + 280 * len(found)
             self.update(found)
-            self.size += size
 
 
 def only(owner: str) -> None:

@@ -57,7 +57,7 @@ class PieceCoder:
             self.automaton.add_word(p, (len(p), i, sp.get_score(i)))
         self.automaton.make_automaton()
         self.text_of = [bytes((self.byte_of[i],)) if i in self.byte_of else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
-        self.store = Store("pieces")
+        self.store = Store("pieces", 112 << 20)
 
     def viterbi(self, part: str) -> array:
         """Best segmentation of a part in which blanks are U+2581 already."""
