@@ -12,6 +12,7 @@ Block: u32 minimum, u16 ids, u8 width, u8 zero, u16 exceptions, u16 zero, then 8
 
 from __future__ import annotations
 
+import json
 import struct
 import sys
 import zlib
@@ -124,8 +125,10 @@ def decode_blocks(payload: bytes, starts: list[int]) -> np.ndarray:
 
 # ---- tokens ---------------------------------------------------------------------------------------------------
 
-_BLANK_AFTER_SPACE = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}] "  # RE2, whose \s is that of ASCII only
-_CUT = frozenset(".,")
+_BLANK_AFTER_SPACE = r"\x01|[\s\p{Z}\x0B\x1C-\x1F\x{85}] "  # RE2, whose \s is that of ASCII only
+_BARE = "\x01"  # stands before what no blank stands before
+# A stop or comma after an ASCII letter, where the chunk ends: the library cuts before it whatever comes next.
+_STOP, _STOP_APART = r"([A-Za-z])([.,])( |$)", rf"\1 {_BARE}\2\3"
 _BLANK = "\u0120"  # how byte-level vocabularies write a blank
 
 
@@ -136,11 +139,22 @@ def _little(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def cuts_at_blanks(tokenizer_file: str) -> bool:
+    """Whether the file is of a tokenizer that cuts texts as Tokens relies on: bytes as characters, the common pattern of words, and
+    nothing that looks at the text before; added tokens have no blank, letter or stop on their own. Others get whole texts."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        spec = json.load(f)
+    cutter = spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+    return plain and all(x["content"].startswith("<|") and " " not in x["content"] for x in spec.get("added_tokens", []))
+
+
 class Tokens:
     """Ids of the tokenizers library, asked once for each chunk that comes again.
 
     The library cuts text before a blank that follows a character other than white space, whatever comes next; so the
-    ids of a text are those of the chunks between such blanks. Texts with a blank after white space go whole.
+    ids of a text are those of the chunks between such blanks, and of the stops and commas that end them after a letter. Texts with
+    a blank after white space go whole.
     """
 
     JOINED = 256
@@ -149,16 +163,16 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.by_chunks = cuts_at_blanks(tokenizer_file)
         places = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(places.values(), default=0) + 1, bool)  # by id, whether its first byte is a blank
         self.begins[[i for x, i in places.items() if x.startswith(_BLANK)]] = True
-        self.store = Store("token_files", 96 << 20)  # by chunk without its blank
-        self.bare = Store("token_files", 16 << 20)  # by text that no blank stands before
+        self.store = Store("token_files", 80 << 20)  # by chunk without its blank
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [_little(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ask_chunks(self, chunks: list[str]) -> list[bytes]:
+    def _ask_chunks(self, chunks: list[str]) -> dict[str, bytes]:
         """The ids of each chunk, with its blank. Chunks that do not end in white space are asked JOINED at a time as one text:
         each has one blank, its first character, so the ids that begin with a blank are where the chunks begin."""
         out: dict[str, bytes] = {}
@@ -167,41 +181,37 @@ class Tokens:
         for group, raw in zip(groups, self._ask([" " + " ".join(x) for x in groups]), strict=True):
             starts = (np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")]) * 4).tolist()
             if len(starts) == len(group):
-                out.update(zip(group, [raw[i:j] for i, j in zip(starts, [*starts[1:], len(raw)], strict=True)], strict=True))
-        rest = [x for x in chunks if x not in out]
+                out.update(zip(group, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
+        rest = [x for x in chunks if x not in out] if len(out) < len(chunks) else []
         out.update(zip(rest, self._ask([" " + x for x in rest]), strict=True))
-        return [out[x] for x in chunks]
+        return out
 
     @staticmethod
-    def _atoms(chunk: str) -> list[tuple[bool, str]]:
-        """A chunk cut where the library always cuts too: around a full stop or comma that ends it after an ASCII letter, and
-        at one line feed between characters other than white space. (bare, text); the first atom is not bare."""
-        head, feed, tail = chunk.partition("\n")
-        if feed and (not head or not tail or head[-1].isspace() or tail[0].isspace()):
-            return [(False, chunk)]
-        out = []
-        for bare, x in ((False, head), (True, "\n" + tail))[: 1 + bool(feed)]:
-            if len(x) > 2 and x[-1] in ".," and "A" <= x[-2] <= "z" and x[-2].isalpha():
-                out += [(bare, x[:-1]), (True, x[-1])]
-            else:
-                out.append((bare, x))
-        return out
+    def _atoms(chunk: str) -> list[str]:
+        """A chunk cut where the library always cuts too: at one line feed between characters other than white space, and
+        around a stop or comma before that after an ASCII letter. What follows a cut begins with _BARE."""
+        head, _, tail = chunk.partition("\n")
+        if not head or head == _BARE or not tail or head[-1].isspace() or tail[0].isspace():
+            return [chunk]
+        stop = [_BARE + head[-1]] if len(head) > 2 and head[-1] in ".," and "A" <= head[-2] <= "z" and head[-2].isalpha() else []
+        return [head[:-1] if stop else head, *stop, f"{_BARE}\n{tail}"]
 
     def _new(self, chunks: list[str]) -> dict[str, bytes]:
         """The ids of chunks that are not in the store, which keeps them."""
-        stores = (self.store, self.bare)
-        cut = {c: self._atoms(c) for c in chunks if c[-1:] in _CUT or "\n" in c}
-        asked = [dict.fromkeys(c for c in chunks if c not in cut), {}]
-        for atoms in cut.values():
-            for bare, x in atoms:
-                if x not in stores[bare]:
-                    asked[bare][x] = None
-        found = [dict(zip(xs, f(list(xs)), strict=True)) for xs, f in zip(asked, (self._ask_chunks, self._ask), strict=True)]
-        out = {c: b"".join([found[bare][x] if x in found[bare] else stores[bare][x] for bare, x in cut[c]]) if c in cut else found[0][c] for c in chunks}
-        for kept, ids in zip(stores, found, strict=True):
-            kept.keep_all(ids)
-        self.store.keep_all({c: out[c] for c in cut})
-        return out
+        cut = {c: self._atoms(c) for c in chunks if "\n" in c}
+        plain = [c for c in chunks if c not in cut and c[:1] != _BARE] if cut else [c for c in chunks if c[:1] != _BARE]
+        bare = [c for c in chunks if c not in cut and c[:1] == _BARE]
+        if cut:
+            known = {*plain, *bare}
+            for x in dict.fromkeys(x for atoms in cut.values() for x in atoms if x not in known and x not in self.store):
+                (bare if x[:1] == _BARE else plain).append(x)
+        found = self._ask_chunks(plain)
+        found.update(zip(bare, self._ask([x[1:] for x in bare]), strict=True))
+        self.store.keep_all(found)
+        for c, atoms in cut.items():
+            if len(atoms) > 1:
+                found[c] = b"".join([found[x] if x in found else self.store[x] for x in atoms])
+        return found
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
@@ -212,7 +222,7 @@ class Tokens:
             texts = pa.array(texts, pa.string())
         if not len(texts):
             return []
-        whole = pc.match_substring_regex(texts, _BLANK_AFTER_SPACE).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, _BLANK_AFTER_SPACE).to_numpy(zero_copy_only=False) if self.by_chunks else np.ones(len(texts), bool)
         out: list[bytes] = [b""] * len(texts)
         at = np.flatnonzero(whole).tolist()
         for i, ids in zip(at, self._ask(texts.take(pa.array(at, pa.int64())).to_pylist()), strict=True):
@@ -220,7 +230,8 @@ class Tokens:
         at = np.flatnonzero(~whole).tolist()
         if not at:
             return out
-        lists = pc.split_pattern(texts.take(pa.array(at, pa.int64())) if len(at) < len(texts) else texts, " ")
+        some = texts.take(pa.array(at, pa.int64())) if len(at) < len(texts) else texts
+        lists = pc.split_pattern(pc.replace_substring_regex(some, _STOP, _STOP_APART), " ")
         ends = lists.offsets.to_numpy().astype(np.int64)
         ends -= ends[0]
         firsts = ends[:-1]  # the places of what no blank stands before
@@ -292,7 +303,7 @@ def write_token_files(docs: DataFrame, *, tokenizer_file: str | None = None, end
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for piece in by_slices(batch, 2048):
+            for piece in by_slices(batch, 8192, 16 << 20):
                 found = tokens.encode(piece.column(2))
                 for p, d, ids in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), found, strict=True):
                     if p != part:
