@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hearken.functions.text import bound
+
 
 def sample_key(seed: int, key: Column | str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string") if isinstance(key, str) else key.cast("string")), 256)
@@ -78,10 +80,17 @@ def greedy_quota(df: DataFrame, key: str, cohort: str, labels: str, position: st
 
 
 def primary_label(df: DataFrame, keys: list[str], labels: str, out: str = "primary") -> DataFrame:
-    """Each key's most frequent label, of equally frequent ones the first. labels is an array in order."""
-    each = df.select(*keys, F.posexplode(labels).alias("_p", "_l")).groupBy(*keys, "_l").agg(F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_p"))
-    best = each.groupBy(*keys).agg(F.max_by("_l", F.struct(F.col("_n"), -F.col("_p"))).alias(out))
-    return best
+    """Each row's most frequent label, of equally frequent ones the first; labels is an array in order. Rows without a label
+    give none. The labels are sorted and their runs counted inside the row, without a shuffle."""
+    known = F.filter(F.transform(labels, lambda x, i: F.struct(x.alias("l"), i.alias("p"))), lambda x: x["l"].isNotNull())
+
+    def best(s: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(s) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i)["l"] != F.get(s, i - 1)["l"]))
+        run = lambda b: F.transform(b, lambda at, j: F.struct((F.coalesce(F.get(b, j + 1), F.size(s)) - at).alias("n"), (-F.get(s, at)["p"]).alias("p"), F.get(s, at)["l"].alias("l")))
+        return F.array_max(bound(starts, run))["l"]
+
+    return df.filter(F.size(F.array_compact(labels)) > 0).select(*keys, bound(F.array_sort(known), best).alias(out))
 
 
 def mode_of(df: DataFrame, column: str, order: str) -> DataFrame:

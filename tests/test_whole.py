@@ -1,18 +1,15 @@
 """Queries take whole texts and all rows: small tables against plain Python."""
 
 import hashlib
-import os
 import random
 import re
 
-import duckdb
 import pytest
-from test_queries import SF, rows
+from test_queries import SF
 
 from hearken.operators import stats
 from hearken.plans import queries
 
-LEVENSHTEIN_FREE = ("q03_slot_f1", "q09_clusters", "q10_rates", "q11_two_proportion_z", "q12_wald_interval", "q13_mantel_haenszel", "q14_permutation_null", "q24_span_losses")
 
 
 def distance(a, b):
@@ -59,19 +56,6 @@ def test_turns_that_are_not_ascii(spark, tmp_path):
     assert sorted(map(tuple, run("q09_clusters").collect())) == want
 
 
-@pytest.mark.parametrize("name", LEVENSHTEIN_FREE)
-def test_all_turns_by_sql(spark, name):
-    """The SQL without its filter of ASCII texts."""
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{os.path.join(SF, 'conversations.parquet')}'")
-    sql, n = re.subn(r" WHERE regexp_full_match\(a\.text, '[^']*'\) AND regexp_full_match\(b\.text, '[^']*'\)", "", queries.ORACLE_SQL[name])
-    assert n == 1
-    found = con.execute(sql)
-    names = [d[0] for d in found.description]
-    df = queries.QUERIES[name](spark, SF)
-    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, found.fetchall())
-
-
 def test_resampling_takes_clusters_of_all_cohorts(spark):
     c = queries.QUERIES["q09_clusters"](spark, SF).cache()
     table = sorted(tuple(r)[:1] + tuple(r)[2:] for r in c.collect())
