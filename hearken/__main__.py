@@ -27,6 +27,11 @@ def _lines(schema: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, path: io.read_jsonl(spark, path, schema)
 
 
+def _numbered(schema: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Lines of which the last of repeated ones counts."""
+    return lambda spark, path: io.read_jsonl_numbered(spark, path, schema)
+
+
 def _dialogs(spark: SparkSession, path: str) -> DataFrame:
     """Utterances of the dialogs in a folder, or in the zip archives of one whose path ends in .zip or /*.zip."""
     return cohorts.utterances(io.read_zip_json(spark, path) if path.endswith(".zip") else io.read_json_folder(spark, path))
@@ -50,10 +55,10 @@ def _split(slices: DataFrame, audio: DataFrame, pilot: DataFrame, args: argparse
     return workflows.speaker_split(slices, audio, pilot, per_cohort=args.per_cohort, most_per_speaker=args.max_per_speaker, least_eojeols=args.min_eojeols)
 
 
-_gold, _asr = _lines(io.ANNOTATION), _lines(HYPOTHESES)
+_gold, _asr = _lines(io.ANNOTATION), _numbered(HYPOTHESES)
 #: name: (readers of the inputs, function of their tables and the options, whether the result is one row)
 COMMANDS: dict[str, tuple[dict, Callable, bool]] = {
-    "evaluate": ({"gold": _gold, "asr": _lines(io.ASR)}, lambda gold, asr, _: scoring.evaluate(gold, asr), False),
+    "evaluate": ({"gold": _numbered(io.ANNOTATION), "asr": _lines(io.ASR)}, lambda gold, asr, _: scoring.evaluate(gold, asr), False),
     "slices": ({"dialogs": _dialogs}, lambda rows, _: rows.drop("eojeols"), False),
     "slice-summary": ({"dialogs": _dialogs}, lambda rows, _: cohorts.slice_summary(rows), False),
     "topics": ({"dialogs": _dialogs}, lambda rows, _: cohorts.topic_counts(rows), False),
@@ -66,7 +71,7 @@ COMMANDS: dict[str, tuple[dict, Callable, bool]] = {
     "probe": ({"manifest": _lines(UNITS), "asr": _asr}, lambda m, a, _: workflows.probe_rates(m, a), True),
     "outcomes": ({"manifest": _lines(UNITS), "asr": _asr}, lambda m, a, _: workflows.outcome_counts(workflows.unit_outcomes(m, a)), False),
     "significance": ({"manifest": _lines(UNITS), "asr": _asr}, _significance, True),
-    "spans": ({"annotations": _gold, "manifest": _lines(UNITS), "asr": _asr}, lambda g, m, a, _: workflows.span_outcomes(g, m, a), False),
+    "spans": ({"annotations": _gold, "manifest": _numbered(UNITS), "asr": _asr}, lambda g, m, a, _: workflows.span_outcomes(g, m, a), False),
     "losses": ({"annotations": _gold, "manifest": _lines(UNITS), "asr": _asr}, _losses, False),
     "split": ({"slices": _lines(SLICES), "audio": _lines(STEMS), "pilot": _lines(STEMS)}, _split, False),
     "audio-review": ({"audit": _lines(AUDIT)}, lambda rows, _: review.audio_review(rows), False),

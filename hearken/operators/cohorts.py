@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hearken.functions.hangul import classify_pair, signature
 from hearken.functions.text import _col, stable_hash
+from hearken.operators.keyed import LINE, last_of
 
 # Regions and slices.
 BUSAN = "부산"
@@ -71,7 +72,8 @@ def topic_counts(manifest: DataFrame) -> DataFrame:
 
 def with_slices(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """rows with the slice of (source_file, utterance_id), `other` where the manifest has none."""
-    known = manifest.select("source_file", "utterance_id", F.col("slice_label").alias("_slice")).dropDuplicates(["source_file", "utterance_id"])
+    known = manifest.select("source_file", "utterance_id", F.col("slice_label").alias("_slice"), *[c for c in manifest.columns if c == LINE])
+    known = last_of(known, "source_file", "utterance_id")
     return rows.join(known, ["source_file", "utterance_id"], "left").withColumn("slice_label", F.coalesce("_slice", F.lit("other"))).drop("_slice")
 
 

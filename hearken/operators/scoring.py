@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hearken.functions.numerals import DIGITS, numeric_values
 from hearken.functions.text import _col, bound, characters, contains_normalized, holds, normalized, word_edits, words
+from hearken.operators.keyed import last_of
 
 
 def unit_outcome(hypothesis: Column | str, dialect: Column | str, standard: Column | str) -> Column:
@@ -78,9 +79,9 @@ def evaluate(gold: DataFrame, asr: DataFrame) -> DataFrame:
     """Metrics of each model: error rates of characters and words, intent accuracy, slot precision, recall and F1, the rate of
     critical spans lost, overall and by category. Undefined rates are 0.
 
-    A row of asr without gold is an error; of repeated gold ids one stays."""
+    A row of asr without gold is an error; of repeated gold ids the last counts."""
     pair = lambda s: F.array_distinct(F.transform(s, lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))))
-    g = gold.dropDuplicates(["utterance_id"]).select("utterance_id", F.col("dialect_transcript").alias("reference"), F.col("intent").alias("gold_intent"), pair("slots").alias("gold_slots"), "critical_spans", F.lit(True).alias("has_gold"))
+    g = last_of(gold, "utterance_id").select("utterance_id", F.col("dialect_transcript").alias("reference"), F.col("intent").alias("gold_intent"), pair("slots").alias("gold_slots"), "critical_spans", F.lit(True).alias("has_gold"))
     r = asr.select("utterance_id", "model", "hypothesis", "intent_prediction", pair("slots").alias("slots")).join(g, "utterance_id", "left")
     r = r.withColumn("has_gold", F.when(F.col("has_gold").isNull(), F.raise_error(F.format_string("no gold row for %s", "utterance_id")).cast("boolean")).otherwise(True)).filter("has_gold")
     r = r.withColumn("rw", words("reference")).withColumn("hw", words("hypothesis"))
@@ -118,7 +119,7 @@ def evaluate(gold: DataFrame, asr: DataFrame) -> DataFrame:
 
 def with_outcomes(manifest: DataFrame, asr: DataFrame) -> DataFrame:
     """manifest with the hypothesis found by review_id, else by utterance_id: two equi joins, no OR condition."""
-    by = lambda key: asr.filter(F.col(key).isNotNull()).dropDuplicates([key]).select(F.col(key).alias(f"_{key}"), F.col("hypothesis").alias(f"_by_{key}"))
+    by = lambda key: last_of(asr, key).select(F.col(key).alias(f"_{key}"), F.col("hypothesis").alias(f"_by_{key}"))
     out = manifest.join(by("review_id"), F.col("review_id") == F.col("_review_id"), "left").join(by("utterance_id"), F.col("utterance_id") == F.col("_utterance_id"), "left")
     return out.withColumn("hypothesis", F.coalesce("_by_review_id", "_by_utterance_id")).drop("_review_id", "_utterance_id", "_by_review_id", "_by_utterance_id")
 

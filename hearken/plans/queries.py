@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearken.functions import hangul, numerals, text
-from hearken.operators import cohorts, mining, review, sampling, scoring, stats, validate
+from hearken.operators import cohorts, keyed, mining, review, sampling, scoring, stats, validate
+from hearken.plans import workflows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -487,3 +488,67 @@ def q37_mode(spark, sf_dir):
 def q38_packet_counts(spark, sf_dir):
     d = _read(spark, sf_dir, "documents")
     return d.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("n_chars").alias("lengths"), F.round(F.sum("n_chars") / 60, 2).alias("minutes"))
+
+
+# ---- whole analyses ------------------------------------------------------------------------------------------------
+
+_OPENING = "regexp_replace(lower(string_split(ref, ' ')[1]), '[^a-z]', '', 'g')"
+
+
+def _match_sql(x: str) -> str:
+    opens = lambda t: f"list_contains(list_transform(regexp_split_to_array({t}, '\\s+'), lambda w: starts_with({_NORM.format('w')}, {x})), true)"
+    return f"CASE WHEN NOT {opens('ref')} THEN 'phantom_label' WHEN {opens('hyp')} THEN 'eojeol_initial' WHEN contains({_NORM.format('hyp')}, {x}) THEN 'substring_only' ELSE 'absent' END"
+
+
+_GRADED_SQL = " UNION ALL ".join(
+    [f"SELECT role, 'critical_span' AS source, '{n}' AS category, 'high' AS risk, {_match_sql(repr(n))} AS m FROM turns" for n in _NEEDLES]
+    + [f"SELECT role, 'slot', 'opening', 'unspecified', {_match_sql(_OPENING)} FROM turns WHERE {_OPENING} <> ''", f"SELECT role, 'slot', 'fixed', 'unspecified', {_match_sql(repr('the'))} FROM turns"]
+)
+
+
+@query(f"WITH {_TURNS}, o AS ({_GRADED_SQL}) SELECT role AS cohort, source, category, risk AS business_risk, m AS match_type, count(*) AS n FROM o GROUP BY ALL")
+def q39_span_outcomes(spark, sf_dir):
+    """Turns as annotations with critical spans and slots, of which some have no text, graded against the next turn; of repeated
+    hypotheses the last line counts."""
+    t = _turns(spark, sf_dir).withColumn("id", (F.col("conv_id") * 1000 + F.col("turn")).cast("string"))
+    opening = F.regexp_replace(F.lower(F.get(F.split("ref", " "), F.lit(0))), "[^a-z]", "")
+    span = lambda text, name: F.struct(F.lit(text).alias("span_text"), F.lit(name).alias("category"), F.lit("high").alias("business_risk"))
+    slot = lambda name, value, text: F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(text).alias("span_text"))
+    slots = F.array(slot("opening", opening, ""), slot("fixed", F.lit("other"), "the"), slot("empty", F.lit(""), None))
+    annotations = t.select(F.col("id").alias("utterance_id"), F.col("ref").alias("dialect_transcript"), F.lit("").alias("standard_transcript"), F.array(*[span(n, n) for n in _NEEDLES], span("", "empty")).alias("critical_spans"), slots.alias("slots"))
+    units = F.array(F.struct(F.lit("the").alias("dialect")))
+    manifest = t.select(F.col("id").alias("utterance_id"), F.concat(F.lit("r"), "id").alias("review_id"), F.col("role").alias("cohort"), units.alias("dialect_units"))
+    line = lambda at: F.struct(F.lit("a").alias("file"), F.lit(at).alias("at")).alias("_line")
+    asr = t.select(F.concat(F.lit("r"), "id").alias("review_id"), F.col("hyp").alias("hypothesis"), line(2))
+    asr = asr.unionByName(asr.select("review_id", F.lit("an earlier line").alias("hypothesis"), line(1)))
+    out = workflows.span_outcomes(annotations, manifest, asr)
+    return out.groupBy("cohort", "source", "category", "business_risk", "match_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "SELECT l.doc_id AS review_id, (l.doc_id % 3)::BIGINT AS unit_index, CASE quality WHEN 0 THEN 'potentially_harmful_semantic_shift' ELSE 'low_impact_discourse_or_hedge_loss' END AS text_audit_status, d.source || '.wav' AS clip_path, d.source IN (SELECT source FROM documents WHERE doc_id % 5 = 0) AS clip_present,"
+    " CASE WHEN d.doc_id % 4 <> 0 THEN round(d.n_chars / 100.0::DOUBLE, 2) END AS start_sec, d.text AS dialect_transcript FROM labels l JOIN documents d USING (doc_id) WHERE quality IN (0, 1)"
+)
+def q40_audio_packet(spark, sf_dir):
+    """Labels as audited units, documents as utterances, three quarters of them with a clip."""
+    d, id = _read(spark, sf_dir, "documents"), F.col("doc_id").alias("review_id")
+    no = lambda *names: [F.lit("").alias(c) for c in names]
+    status = F.when(F.col("quality") == 0, review.AUDIO_STATUSES[0]).when(F.col("quality") == 1, review.AUDIO_STATUSES[1]).otherwise("other")
+    audit = _read(spark, sf_dir, "labels").select(id, (F.col("doc_id") % 3).cast("long").alias("unit_index"), status.alias("text_audit_status"), *no("utterance_id", "cohort", "category", "dialect", "standard", "automatic_outcome", "text_audit_reason", "text_audit_note", "hypothesis"))
+    path = F.concat("source", F.lit(".wav"))
+    manifest = d.select(id, path.alias("clip_path"), F.col("text").alias("dialect_transcript"), F.lit("").alias("standard_transcript"))
+    clips = d.filter("doc_id % 4 <> 0").select(id, F.round(F.col("n_chars") / 100, 2).alias("start_sec"), F.lit(0.0).alias("end_sec"), F.lit(0.0).alias("clip_duration_sec"), *no("domain", "intent"), F.array(F.lit("a")).alias("critical_categories"))
+    packet = review.audio_packet(audit, manifest, clips, d.filter("doc_id % 5 = 0").select(path.alias("path")))
+    return packet.select("review_id", "unit_index", "text_audit_status", "clip_path", "clip_present", "start_sec", "dialect_transcript")
+
+
+@query("SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY doc_id DESC) AS place FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def q41_rows_in_order(spark, sf_dir):
+    """The rows that a selection names, with their place in it."""
+    ids = _read(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    last = ids.agg(F.max("doc_id")).first()[0] or 0
+    chosen = ids.withColumn("rank", F.lit(last) - F.col("doc_id"))
+    found = keyed.in_order(_read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), chosen, "doc_id", "rank")
+    from pyspark.sql.window import Window
+
+    return found.select("doc_id", "lang", "n_chars", F.row_number().over(Window.orderBy("rank")).cast("long").alias("place"))

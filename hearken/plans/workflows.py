@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hearken.functions.text import _col, bound, holds, normalized, stable_hash
 from hearken.operators import cohorts, mining, sampling, scoring, stats
+from hearken.operators.keyed import last_of
 
 # The two cohorts that are compared, and the note of a re-mined row.
 COHORTS = ("busan", "gyeongsang_other")
@@ -19,11 +20,6 @@ def _filled(column: Column | str) -> Column:
     return F.coalesce(_col(column), F.lit(""))
 
 
-def _last(df: DataFrame, key: str) -> DataFrame:
-    """One row for each key that is not null; which one of several is not defined."""
-    return df.filter(F.col(key).isNotNull()).dropDuplicates([key])
-
-
 # ---- choosing what is annotated ------------------------------------------------------------------------------------
 
 
@@ -135,15 +131,43 @@ def probe_rates(manifest: DataFrame, asr: DataFrame) -> DataFrame:
     return met.join(F.broadcast(sums), F.lit(True)).withColumns(rates).select("evaluated_utterances", "missing_asr_outputs", *rates)  # one row each
 
 
+def _graded_spans(critical: Column, slots: Column | None) -> Column:
+    """Critical spans, then slots (their text, else their value), as array<struct<span_text, category, business_risk, source>>;
+    those without a text are left out."""
+    def one(text: Column, category: Column, risk: Column, source: str) -> Column:
+        return F.struct(_filled(text).alias("span_text"), category.alias("category"), risk.alias("business_risk"), F.lit(source).alias("source"))
+
+    spans = F.coalesce(F.transform(critical, lambda s: one(s["span_text"], s["category"], s["business_risk"], "critical_span")), F.array())
+    if slots is not None:
+        text = lambda s: F.when(_filled(s["span_text"]) != "", s["span_text"]).otherwise(s["value"])
+        spans = F.concat(spans, F.coalesce(F.transform(slots, lambda s: one(text(s), s["name"], F.lit("unspecified"), "slot")), F.array()))
+    return F.filter(spans, lambda s: s["span_text"] != "")
+
+
+def _measured(annotations: DataFrame, manifest: DataFrame, asr: DataFrame) -> DataFrame:
+    """annotations with review_id, cohort, dialect_units and hypothesis, null where the manifest or the hypotheses have none;
+    of repeated rows of either the last counts."""
+    units = last_of(manifest, "utterance_id").select("utterance_id", "review_id", "cohort", "dialect_units")
+    heard = last_of(asr, "review_id").select("review_id", _filled("hypothesis").alias("hypothesis"))
+    return annotations.join(units, "utterance_id", "left").join(heard, "review_id", "left")
+
+
 def span_outcomes(annotations: DataFrame, manifest: DataFrame, asr: DataFrame) -> DataFrame:
-    """One row for each critical span of the annotations whose utterance has a hypothesis, with its match type and whether
-    it is dialect-marked. annotations join the manifest by utterance_id, the manifest the hypotheses by review_id."""
-    found = annotations.select("utterance_id", "standard_transcript", "dialect_transcript", "critical_spans")
-    found = found.join(_last(manifest, "utterance_id").select("utterance_id", "review_id", "cohort", "dialect_units"), "utterance_id")
-    found = found.join(_last(asr, "review_id").select("review_id", _filled("hypothesis").alias("hypothesis")), "review_id")
-    each = found.withColumn("_s", F.explode("critical_spans")).withColumn("_t", _filled("_s.span_text"))
-    graded = scoring.match_type("_t", "hypothesis", [_filled("dialect_transcript"), _filled("standard_transcript")])
-    return each.select("review_id", "utterance_id", "cohort", F.col("_t").alias("span_text"), "_s.category", "_s.business_risk", F.coalesce(scoring.dialect_marked("_t", "dialect_units"), F.lit(False)).alias("dialect_marked"), graded.alias("match_type"))
+    """One row for each critical span and slot of the annotations whose utterance has a hypothesis, with its source, its match
+    type and whether it is dialect-marked; empty ones are left out. annotations join the manifest by utterance_id, the
+    manifest the hypotheses by review_id; what neither joins is counted by `skipped_annotations`."""
+    spans = _graded_spans(F.col("critical_spans"), F.col("slots") if "slots" in annotations.columns else None)
+    found = annotations.select("utterance_id", "standard_transcript", "dialect_transcript", spans.alias("_spans"))
+    each = _measured(found, manifest, asr).filter("hypothesis is not null").withColumn("_s", F.explode("_spans"))
+    graded = scoring.match_type("_s.span_text", "hypothesis", [_filled("dialect_transcript"), _filled("standard_transcript")])
+    marked = F.coalesce(scoring.dialect_marked("_s.span_text", "dialect_units"), F.lit(False))
+    return each.select("review_id", "utterance_id", "cohort", "_s.span_text", "_s.category", "_s.business_risk", "_s.source", marked.alias("dialect_marked"), graded.alias("match_type"))
+
+
+def skipped_annotations(annotations: DataFrame, manifest: DataFrame, asr: DataFrame) -> DataFrame:
+    """One row: annotations, and those that have no row of the manifest or no hypothesis."""
+    found = _measured(annotations.select("utterance_id"), manifest, asr)
+    return found.agg(F.count(F.lit(1)).alias("annotations"), F.count_if(F.col("hypothesis").isNull()).alias("skipped"))
 
 
 def significance(clusters: DataFrame, *, draws: int = 10_000, key: str = "review_id") -> DataFrame:

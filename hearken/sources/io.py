@@ -30,6 +30,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | StructType | None =
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
+def read_jsonl_numbered(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with `_line`, struct<file, at>, by which `operators.keyed.last_of` finds the last of repeated rows. Lines that
+    are no object are dropped. A file is one task's work: for annotations and manifests, not for corpora."""
+    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    rows = files.filter(F.json_object_keys("line").isNotNull()).select(F.from_json("line", schema).alias("d"), F.struct("file", "at").alias("_line"))
+    return rows.select("d.*", "_line")
+
+
 def read_json_folder(spark: SparkSession, path: str, schema: str | StructType = DIALOG) -> DataFrame:
     """One document for each *.json below a folder, with its file name as source_file."""
     df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
