@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import fold, mapped, sampled
+from hearken.llm.common import by_slices, fold, mapped, sampled
 
 BITS = 15
 SIZE = 1 << BITS
@@ -98,18 +98,43 @@ def fit_temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit_language_model(docs: DataFrame, learn_from: Column, *, sample_rows: int = 2400) -> LanguageModel:
-    """Fits on about sample_rows labelled rows in all, equally many of each language (all of a rare one).
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of rows of docs (text) that have a letter, and of those with each hashed n-gram. Every task sums its rows; the
+    driver gets SIZE sums."""
 
-    sample_rows bounds what the driver gets: hashed counts of as many rows. The document frequencies are those of
-    the sample. Every fifth sampled row is kept for the temperature.
+    def run(batches):
+        n, df = 0, np.zeros(SIZE, np.int64)
+        for batch in batches:
+            for part in by_slices(batch):
+                for text in part.column(0).to_pylist():
+                    if has_letter(text):
+                        n += 1
+                        df += ngram_counts(text) > 0
+        if n:
+            index = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(index, SIZE)), pa.array(np.append(df[index], n))], names=["gram", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(SIZE + 1)
+    for r in rows:
+        out[r["gram"]] = r["n"]
+    return int(out[SIZE]), out[:SIZE]
+
+
+def fit_language_model(docs: DataFrame, learn_from: Column, *, sample_rows: int = 2400, least_rows: int = 20) -> LanguageModel:
+    """Fits on about sample_rows labelled rows in all, equally many of each language (all of a rare one). Of more languages than
+    have least_rows each of them, the most frequent are learned and the others never predicted.
+
+    sample_rows bounds what the driver gets of rows: hashed counts of as many. The document frequencies are those of all rows
+    that may be learned from. Every fifth sampled row is kept for the temperature.
     """
     rows = docs.filter(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, sample_rows // least_rows))
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     if not sizes:
         return LanguageModel([], np.ones(SIZE), np.zeros((SIZE, 0)), 1.0)
     languages = sorted(sizes)
-    each = max(20, sample_rows // len(languages))
+    each = sample_rows // len(languages)
     rate = F.element_at(F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, each / sizes[k])))]), F.col("lang"))
 
     def features(batch: pa.RecordBatch) -> dict:
@@ -120,14 +145,12 @@ def fit_language_model(docs: DataFrame, learn_from: Column, *, sample_rows: int
             out.append((index.astype("<u4").tobytes(), counts[index].astype("<u4").tobytes()))
         return {"h": batch.column(0), "lang": batch.column(1), "index": pa.array([x[0] for x in out], pa.binary()), "counts": pa.array([x[1] for x in out], pa.binary())}
 
-    taken = rows.filter(sampled(F.col("doc_id"), rate, "language"))
+    taken = rows.filter(F.col("lang").isin(languages)).filter(sampled(F.col("doc_id"), rate, "language"))
     taken = mapped(taken.select(F.xxhash64("doc_id", F.lit("order")).alias("h"), "lang", "text"), features, "h long, lang string, index binary, counts binary")
     got = sorted((r["h"], r["lang"], bytes(r["index"]), bytes(r["counts"])) for r in taken.collect() if r["index"])
     got = [(h, lang, np.frombuffer(i, "<u4").astype(np.int64), np.frombuffer(c, "<u4").astype(float)) for h, lang, i, c in got]
-    df = np.zeros(SIZE)
-    for _, _, index, _ in got:
-        df[index] += 1
-    idf = np.log((1 + len(got)) / (1 + df)) + 1
+    n, df = document_frequencies(rows)
+    idf = np.log((1 + n) / (1 + df)) + 1
     place = {k: i for i, k in enumerate(languages)}
     trained, kept = [], []
     for h, lang, index, counts in got:

@@ -68,6 +68,65 @@ def test_language_counts_equal_a_plain_count():
     assert (small == language_id.ngram_counts(text)).all()
 
 
+def test_document_frequencies_cover_all_rows(spark, documents):
+    texts = [r["text"] for r in documents.values()] + [None, "", "12 34"]
+    n, df = language_id.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    lettered = [t for t in texts if language_id.has_letter(t)]
+    want = np.zeros(language_id.SIZE)
+    for t in lettered:
+        want += language_id.ngram_counts(t) > 0
+    assert n == len(lettered) and (df == want).all()
+
+
+def test_ftrl_against_a_plain_one():
+    """Per-coordinate FTRL of the published formulas, one weight at a time."""
+    from math import exp, sqrt
+
+    rng = np.random.default_rng(2)
+    rows = [(np.sort(rng.choice(12, 5, replace=False)), rng.random(5), int(rng.integers(3))) for _ in range(60)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.6, 0.3
+    z, n = [[0.0] * 3 for _ in range(12)], [[0.0] * 3 for _ in range(12)]
+
+    def weight(i, k):
+        return 0.0 if abs(z[i][k]) <= l1 else -(z[i][k] - (l1 if z[i][k] > 0 else -l1)) / ((beta + sqrt(n[i][k])) / alpha + l2)
+
+    for _ in range(3):
+        for index, x, y in rows:
+            w = {(i, k): weight(i, k) for i in index.tolist() for k in range(3)}
+            scores = [sum(v * w[i, k] for i, v in zip(index.tolist(), x.tolist())) for k in range(3)]
+            total = sum(map(exp, scores))
+            for i, v in zip(index.tolist(), x.tolist()):
+                for k in range(3):
+                    g = v * (exp(scores[k]) / total - (k == y))
+                    z[i][k] += g - (sqrt(n[i][k] + g * g) - sqrt(n[i][k])) / alpha * w[i, k]
+                    n[i][k] += g * g
+    got = language_id.train_ftrl(rows, 3, epochs=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert np.allclose(got[:12], [[weight(i, k) for k in range(3)] for i in range(12)]) and not got[12:].any()
+    assert (got[:12] == 0).any() and (got[:12] != 0).any()
+
+
+def test_languages_have_a_bound(spark):
+    rows = [(i, f"word{i % 9} text", f"l{i % 9}") for i in range(90)] + [(1000 + i, "common words", "en") for i in range(60)]
+    model = language_id.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), sample_rows=60, least_rows=20)
+    assert len(model.languages) == 3 and "en" in model.languages
+
+
+def test_quality_sizes_are_those_of_direct_compression():
+    import zstandard
+
+    good, bad = [b"the quick brown fox jumps over " * 5] * 9, [b"buy now cheap cheap pills " * 5] * 9
+    model = quality.QualityModel(quality.train_dictionary(good), quality.train_dictionary(bad), np.zeros(8))
+    texts = ["the quick brown fox", "cheap pills buy now", None, "", "x" * 5000]
+    got = quality.compressed_sizes(texts, model.compressors())
+    for (raw, *sizes), text in zip(got.tolist(), texts):
+        data = (text or "").encode()
+        assert raw == len(data)
+        for size, words in zip(sizes, (model.good, model.bad)):
+            packed = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(words), write_content_size=False, write_dict_id=False).compress(data)
+            assert size == len(packed) and zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)).decompress(packed, max_output_size=10**6) == data
+    assert got[0, 1] < got[0, 2] and got[1, 2] < got[1, 1]
+
+
 def test_language_odd(spark, odd):
     out = {r["doc_id"]: r for r in language_id.identify(odd).collect()}
     assert out[2]["lang_pred"] == out[3]["lang_pred"] == out[8]["lang_pred"] == "und"
