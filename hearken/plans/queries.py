@@ -542,13 +542,10 @@ def q40_audio_packet(spark, sf_dir):
     return packet.select("review_id", "unit_index", "text_audit_status", "clip_path", "clip_present", "start_sec", "dialect_transcript")
 
 
-@query("SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY doc_id DESC) AS place FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+@query("SELECT doc_id, lang, n_chars, (SELECT max(doc_id) FROM labels WHERE toxic = 1) - doc_id AS rank FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def q41_rows_in_order(spark, sf_dir):
-    """The rows that a selection names, with their place in it."""
+    """The rows that a selection names, in its order: the last ids first."""
     ids = _read(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
     last = ids.agg(F.max("doc_id")).first()[0] or 0
     chosen = ids.withColumn("rank", F.lit(last) - F.col("doc_id"))
-    found = keyed.in_order(_read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), chosen, "doc_id", "rank")
-    from pyspark.sql.window import Window
-
-    return found.select("doc_id", "lang", "n_chars", F.row_number().over(Window.orderBy("rank")).cast("long").alias("place"))
+    return keyed.in_order(_read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), chosen, "doc_id", "rank")
